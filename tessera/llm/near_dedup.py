@@ -5,7 +5,9 @@ distance to another is the number of differing symbols. The signature is split i
 symbols. By the pigeonhole principle, two signatures at a distance of up to 15 have a chunk that differs in one
 symbol at most; so each chunk is filed under its four keys that leave out one symbol, and
 such pairs meet under a key. Pairs that meet and may reach the similarity are confirmed on their full
-sets of shingles.
+sets of shingles. What they may reach is bounded by their sizes, by the signatures' distance and by a parity
+bitmap: bit i says whether an odd number of a set's hashes fall on i, so two bitmaps differ in
+at most as many bits as their sets do in elements, and no pair with the similarity is lost there.
 
 Documents of equal sets are one class, and the join runs over classes. Under each key
 all members are first held against the smallest one, so a large group of near copies costs as
@@ -29,10 +31,13 @@ from .common import blocks, keep, mixed, text_bytes
 
 WORDS, PERCENT = 5, 75
 CHUNKS, LANES, BITS = 8, 4, 14
+#: Longs in the parity bitmap of a set.
+PARITY = 16
 #: Pairs that met at a distance above this are not confirmed: below one in 10**5 of those with the similarity.
 FARTHEST = 20
 #: Up to so many ids are broadcast to find the texts that are to be confirmed; beyond, the texts are shuffled.
 BROADCAST_IDS = 1_000_000
+SKETCH = [f"s{i}" for i in range(CHUNKS)] + [f"p{i}" for i in range(PARITY)]
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -83,8 +88,18 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """The parity bitmaps of the sets, PARITY longs each."""
+    out = np.zeros((PARITY, len(sets)), np.int64)
+    for i, x in enumerate(sets):
+        if len(x):
+            odd = np.bincount((x >> np.uint64(20)) & np.uint64(64 * PARITY - 1), minlength=64 * PARITY) & 1
+            out[:, i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return out
+
+
 def described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, n_shingles, a digest (h1, h2) of the set, the signature s0, s1, ..."""
+    """doc_id, n_shingles, a digest (h1, h2) of the set, the signature s0, s1, ..., the parity bitmap p0, p1, ..."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,9 +110,9 @@ def described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
                 size = np.array([len(s) for s in sets])
                 h1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 h2 = np.array([mixed(s * _STEP).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(h1), pa.array(h2), *map(pa.array, signatures(h, bounds))], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(h1), pa.array(h2), *map(pa.array, signatures(h, bounds)), *map(pa.array, parities(sets))], names=names)
 
-    names = ["doc_id", "n_shingles", "h1", "h2", *(f"s{i}" for i in range(CHUNKS))]
+    names = ["doc_id", "n_shingles", "h1", "h2", *SKETCH]
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in names[1:])])
     return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(describe, schema)
 
@@ -127,9 +142,11 @@ def distance(a: str, b: str) -> Column:
 
 
 def reachable(percent: int) -> Column:
-    """Whether sets of these sizes can have the similarity, and signatures at this distance plausibly do."""
+    """Whether sets of these sizes and bitmaps can have the similarity, and signatures at this distance plausibly do."""
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    return (small * 100 >= large * percent) & (distance("a", "b") <= FARTHEST)
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.p{i}").bitwiseXOR(F.col(f"b.p{i}"))) for i in range(PARITY)])
+    # |A ^ B| = |A| + |B| - 2 |A & B|, and |A & B| is percent / (100 + percent) of |A| + |B| at least
+    return (small * 100 >= large * percent) & (distance("a", "b") <= FARTHEST) & (apart * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -167,16 +184,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component and are kept. Without rows the result is empty.
     """
     base = keep(described(docs, id_col, text_col, words), "signatures")
-    sig = [f"s{i}" for i in range(CHUNKS)]
     classes = keep(
-        base.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), *(F.min(s).alias(s) for s in sig)), "classes"
+        base.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), *(F.min(s).alias(s) for s in SKETCH)), "classes"
     )
     masks = [~(((1 << BITS) - 1) << (i * (BITS + 1))) for i in range(LANES)]
     keys = F.array(*(F.xxhash64(F.lit(c * LANES + i), F.col(f"s{c}").bitwiseAND(F.lit(m))) for c in range(CHUNKS) for i, m in enumerate(masks)))
     members = classes.select("rep", F.explode(keys).alias("key"))
     leaders = keep(members.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("many")).where("many > 1").select("key", "leader"), "leaders")
     met = keep(members.join(leaders, "key"), "met")  # members of keys that are not alone
-    known = classes.select("rep", "n", *sig)
+    known = classes.select("rep", "n", *SKETCH)
     near = lambda pairs: pairs.join(known.alias("a"), F.col("p.a") == F.col("a.rep")).join(known.alias("b"), F.col("p.b") == F.col("b.rep")).where(reachable(percent)).select("p.a", "p.b")
     first = keep(near(met.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct().alias("p")), "pairs")
     sets = keep(full_sets(docs, met.select(F.col("rep").alias("id")).distinct(), id_col, text_col, words), "sets")
