@@ -94,6 +94,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words between ASCII white space, A-Z in lower case, and the n + 1 offsets of the texts' words."""
+    n = len(offsets) - 1
+    solid = ~_BLANK[raw]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    at = offsets[:-1][np.diff(offsets) > 0]
+    first[at] = solid[at]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+    where = np.flatnonzero(solid)
+    inside = where - starts[np.cumsum(first)[where] - 1]
+    power = np.full(int(inside.max()) + 1, _BASE, np.uint64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    value = (_LOWER[raw[where]].astype(np.uint64) + np.uint64(1)) * power[inside]
+    return mixed(np.add.reduceat(value, np.searchsorted(where, starts))), np.searchsorted(starts, offsets)
+
+
 class HashIndex:
     """Open-addressing index of distinct uint64 keys; lookups run over whole arrays. Key 2**64 - 1 is reserved."""
 

@@ -52,7 +52,7 @@ gpl-2.0|3|gplv2|gplv2
 gpl-2.0|3|gpl|spdx license identifier gpl 2 0(?: only| or later)?
 gpl-2.0|3|general|(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)? version 2
 gpl-2.0|3|general|(?:gnu )?general public license v2
-gpl-2.0|2|inc|free software foundation inc 51 franklin street
+gpl-2.0|2|franklin|free software foundation inc 51 franklin street
 gpl-2.0|2|temple|free software foundation inc 59 temple place
 gpl-3.0|3|gpl|(?:gnu )?gpl ?(?:version |v)?3(?: 0)?(?: only| or later)?
 gpl-3.0|3|gplv3|gplv3
@@ -166,22 +166,22 @@ cc-by-4.0|3|creative|creative commons attribution 4 0(?: international)?(?: lice
 cc-by-3.0|3|creative|creative commons attribution 3 0(?: unported)?(?: license)?
 cc-by-sa|3|sharealike|creative commons attribution sharealike(?: [1-4] [05])?
 cc-by-sa|3|share|creative commons attribution share alike(?: [1-4] [05])?
-cc-by-sa|3|sa|cc by sa(?: [1-4] [05])?
+cc-by-sa|3|cc|cc by sa(?: [1-4] [05])?
 cc-by-sa-3.0|3|creativecommons|creativecommons org licenses by sa 3 0
 cc-by-sa-4.0|3|creativecommons|creativecommons org licenses by sa 4 0
 cc-by-nc|3|noncommercial|creative commons attribution noncommercial(?: [1-4] [05])?
 cc-by-nc|3|commercial|creative commons attribution non commercial(?: [1-4] [05])?
-cc-by-nc|3|nc|cc by nc(?: [1-4] [05])?
+cc-by-nc|3|cc|cc by nc(?: [1-4] [05])?
 cc-by-nc-4.0|3|creativecommons|creativecommons org licenses by nc 4 0
 cc-by-nc-sa|3|noncommercial|creative commons attribution noncommercial sharealike(?: [1-4] [05])?
-cc-by-nc-sa|3|nc|cc by nc sa(?: [1-4] [05])?
+cc-by-nc-sa|3|cc|cc by nc sa(?: [1-4] [05])?
 cc-by-nc-sa-4.0|3|creativecommons|creativecommons org licenses by nc sa 4 0
 cc-by-nd|3|creative|creative commons attribution no ?deriv(?:ative)?s(?: [1-4] [05])?
 cc-by-nd|3|noderivatives|creative commons attribution noderivatives(?: [1-4] [05])?
-cc-by-nd|3|nd|cc by nd(?: [1-4] [05])?
+cc-by-nd|3|cc|cc by nd(?: [1-4] [05])?
 cc-by-nd-4.0|3|creativecommons|creativecommons org licenses by nd 4 0
 cc-by-nc-nd|3|noncommercial|creative commons attribution noncommercial no ?deriv(?:ative)?s(?: [1-4] [05])?
-cc-by-nc-nd|3|nd|cc by nc nd(?: [1-4] [05])?
+cc-by-nc-nd|3|cc|cc by nc nd(?: [1-4] [05])?
 cc-by-nc-nd-4.0|3|creativecommons|creativecommons org licenses by nc nd 4 0
 public-domain|2|domain|(?:is )?in the public domain
 public-domain|2|domain|dedicated to the public domain

@@ -62,14 +62,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     bare = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SEPARATORS, "  "))
     out = docs.select(F.col(id_col).alias("doc_id"), bare.alias("bare"))
     out = out.withColumn("n_words", F.expr("if(bare = '', 0, cast((length(bare) - length(replace(bare, '  ', ''))) / 2 + 1 as bigint))").cast("long"))
-    out = out.withColumn("hot", F.expr(f"arrays_overlap(split(lower(bare), '  '), array({keywords}))"))
+    out = out.withColumn("keys", F.expr(f"array_intersect(array({keywords}), split(lower(bare), '  '))")).withColumn("hot", F.expr("size(keys) > 0"))
     out = out.withColumn("laid", F.expr(f"if(hot, concat(' ', translate(bare, '{UPPER}', '{LOWER}'), ' '), null)"))
-    out = out.withColumn("words", F.expr("if(hot, split(trim(laid), '  '), null)"))
     # a match starts after all words of the pieces before it and of the matches before it
     matches, pieces = "regexp_extract_all(laid, r.pattern, 0)", "split(laid, r.pattern, -1)"
     counts = f"transform({matches}, (m, i) -> named_struct('before', {WORDS_IN.format('get(pieces, i)')}, 'own', {WORDS_IN.format('m')}))"
     sums = doubling("c", "named_struct('before', x.before + coalesce($y.before, 0), 'own', x.own + coalesce($y.own, 0))")
-    found = f"""if(hot, flatten(transform(filter(array({rows}), r -> array_contains(words, r.keyword)), r ->
+    found = f"""if(hot, flatten(transform(filter(array({rows}), r -> array_contains(keys, r.keyword)), r ->
         flatten(transform(array({pieces}), pieces -> flatten(transform(array({counts}), c -> flatten(transform(array({sums}), s -> transform(s, (x, i) -> named_struct(
             'start', x.before + x.own - c[i].own, 'back', -(x.before + x.own), 'down', -r.priority, 'rule', r.rule, 'label', r.label, 'base', r.base))))))))
     )), array())"""

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, keep, mixed, text_bytes
+from .common import blocks, keep, mixed, text_bytes, word_hashes
 
 WORDS, PERCENT = 5, 75
 CHUNKS, LANES, BITS = 8, 4, 14
@@ -38,32 +38,12 @@ FARTHEST = 20
 #: Up to so many ids are broadcast to find the texts that are to be confirmed; beyond, the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 SKETCH = [f"s{i}" for i in range(CHUNKS)] + [f"p{i}" for i in range(PARITY)]
-_BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word shingles of each text, with repeats, and the n + 1 offsets of the texts' parts."""
-    n = len(offsets) - 1
-    solid = ~_BLANK[raw]
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
-    at = offsets[:-1][np.diff(offsets) > 0]
-    first[at] = solid[at]
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    where = np.flatnonzero(solid)
-    order = np.cumsum(first)[where] - 1
-    inside = where - starts[order]
-    power = np.full(int(inside.max()) + 1, _BASE, np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    value = (_LOWER[raw[where]].astype(np.uint64) + np.uint64(1)) * power[inside]
-    word = mixed(np.add.reduceat(value, np.searchsorted(where, starts)))
-    bounds = np.searchsorted(starts, offsets)
+    word, bounds = word_hashes(raw, offsets)
     count = np.diff(bounds)
     parts = np.maximum(count - words + 1, (count > 0).astype(np.int64))
     out_bounds = np.concatenate([[0], np.cumsum(parts)])
