@@ -9,6 +9,7 @@ and only the last sequence is not full.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from .common import keep
 
 SEQUENCE, END = 2048, 1
 #: Words whose ids a Python worker remembers; then it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -31,8 +32,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
-    """Ids (little-endian uint32) of text between blanks. The tokenizer drops white space and no token spans it."""
+class WordIds:
+    """Ids (little-endian, two bytes each if the vocabulary allows) of text between blanks. The tokenizer drops white space and no token spans it.
+
+    Latin-1 texts are lower-cased at once, as the tokenizer would, and a full stop or comma after a word of
+    letters is looked up apart. New words of letters alone are encoded many at a time, since each ends with its
+    only token that closes a word.
+    """
+
+    TOGETHER = 1000
 
     def __init__(self, path: str):
         import os
@@ -40,39 +48,86 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-
-    def __missing__(self, word: str) -> bytes:
-        self[word] = ids = np.array(self.encode([word], add_special_tokens=False)[0].ids, "<u4").tobytes()
-        return ids
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = tokenizer.encode_batch_fast
+        self.closes = np.zeros(tokenizer.get_vocab_size(), bool)
+        for token, i in tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
+        self.kind = np.dtype("<u2" if len(self.closes) <= 1 << 16 else "<u4")
+        self.known: dict[str, bytes] = {"": b""}
+        self.marks = {m: self.whole([m])[0] for m in ".,"}
+
+    def whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.encode(words, add_special_tokens=False)]
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.encode([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words) or not len(ids) or ends[-1] != len(ids):
+            return self.whole(words)
+        data, ends = ids.tobytes(), (self.kind.itemsize * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, words: set[str]) -> None:
+        plain = [w for w in words if w.isalpha()]
+        for new, step in ((plain, self.letters), (list(words.difference(plain)), self.whole)):
+            for at in range(0, len(new), self.TOGETHER):
+                some = new[at : at + self.TOGETHER]
+                self.known.update(zip(some, step(some)))
+
+    @staticmethod
+    def lowered(text: str) -> str:
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        return text.lower()
 
     def of(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        new = list(set().union(*words).difference(self))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.encode(part, add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, w)) for w in words]
+        if len(self.known) > CACHE_WORDS:
+            self.known = {"": b""}
+        words, bounds = [], [0]
+        for t in texts:
+            words += self.lowered(t).replace("\n", " ").split(" ")
+            bounds.append(len(words))
+        find, marks = self.known.get, self.marks
+        ids = list(map(find, words))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        new, later = set(), []
+        for i in missing:
+            w = words[i]
+            if (mark := marks.get(w[-1])) and (stem := w[:-1]).isalpha():
+                if (x := find(stem)) is not None:
+                    ids[i] = x + mark
+                    continue
+                w = stem
+            else:
+                mark = b""
+            new.add(w)
+            later.append((i, w, mark))
+        if new:
+            self.learn(new)
+            for i, w, mark in later:
+                ids[i] = self.known[w] + mark
+        return [b"".join(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
 _CACHES: dict[str, WordIds] = {}
 
 
 def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """Each document's ids (with END) as bytes of uint32, its partition and its place in that partition's stream."""
+    """Each document's ids (with END) as bytes, its partition and its place in that partition's stream."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _CACHES:
             _CACHES[path] = WordIds(path)
-        cache, part, place, end = _CACHES[path], TaskContext.get().partitionId(), 0, np.array([END], "<u4").tobytes()
+        cache, part, place, end = _CACHES[path], TaskContext.get().partitionId(), 0, np.array([END], _CACHES[path].kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
                 ids = [x + end for x in cache.of([t or "" for t in rows.column(1).to_pylist()])]
-                tokens = np.array([len(x) // 4 for x in ids], np.int64)
+                tokens = np.array([len(x) // cache.kind.itemsize for x in ids], np.int64)
                 starts = place + np.cumsum(tokens) - tokens
                 place += int(tokens.sum())
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(tokens), pa.array(ids, pa.binary())], names=["doc_id", "part", "place", "doc_tokens", "ids"])
@@ -81,9 +136,11 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(encode, f"doc_id {kind}, part int, place long, doc_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, digest: bool = False) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids (uint32 bytes), doc_tokens, sequence_id, offset.
 
+    digest: in place of the ids their CRC-32, ids_crc32.
+
     Each token of a document, its closing END included, lies in exactly one piece.
     Null and empty texts have that one token. Repeated rows and null ids are documents like any other. No document:
     no piece. Other columns of ``docs`` are not read.
@@ -94,6 +151,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
     before = np.concatenate([[0], np.cumsum([n for _, n in totals])]).astype(np.int64)
     known = docs.sparkSession.sparkContext.broadcast((parts, before))  # 16 bytes for each input partition
 
+    column = "ids_crc32" if digest else "ids"
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, before = known.value
         for batch in batches:
@@ -107,17 +166,15 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
             sequence = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             low, high = np.maximum(begin[row], sequence * length), np.minimum((begin + tokens)[row], (sequence + 1) * length)
             start = low - begin[row]
-            views = [memoryview(x.as_buffer()) for x in batch.column(4)]
-            ids = [views[r][4 * s : 4 * (s + n)] for r, s, n in zip(row.tolist(), start.tolist(), (high - low).tolist())]
+            texts = [memoryview(x.as_buffer()) for x in batch.column(4)]
+            width = len(texts[0]) // int(tokens[0])
+            wide = [np.frombuffer(x, f"<u{width}").astype("<u4") for x in texts]
+            ids = [wide[r][s : s + n] for r, s, n in zip(row.tolist(), start.tolist(), (high - low).tolist())]
+            content = pa.array([zlib.crc32(x) for x in ids], pa.int64()) if digest else pa.array([x.tobytes() for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(high - low), pa.array([bytes(x) for x in ids], pa.binary()), pa.array(tokens[row]), pa.array(sequence), pa.array(low - sequence * length)],
-                names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+                [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(high - low), content, pa.array(tokens[row]), pa.array(sequence), pa.array(low - sequence * length)],
+                names=["doc_id", "start", "length", column, "doc_tokens", "sequence_id", "offset"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return stream.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-
-
-def digest(pieces: DataFrame) -> DataFrame:
-    """The pieces with the CRC-32 of their ids in place of these."""
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return stream.mapInArrow(cut, f"doc_id {kind}, start long, length long, {column} {'long' if digest else 'binary'}, doc_tokens long, sequence_id long, offset long")
