@@ -134,7 +134,7 @@ class Model:
     def bits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """raw, offsets: as from text_bytes. Long texts go through in windows, each with the bytes before it."""
         out = np.zeros((len(self.langs), len(offsets) - 1), np.int64)
-        back, most = LONGEST - 1, 1 << 20
+        back, most = LONGEST - 1, 1 << 19
         for first, last in blocks(offsets, most):
             text, length = raw[offsets[first] : offsets[last]], np.diff(offsets[first : last + 1])
             segments = np.repeat(np.arange(first, last), length)
@@ -185,8 +185,8 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            raw, offsets = text_bytes(batch.column(len(carry)))
-            letters = batch.column(len(carry) + 1).to_numpy(zero_copy_only=False).astype(bool)
+            raw, offsets = text_bytes(batch.column(carry.index(text_col) if text_col in carry else len(carry) + 1))
+            letters = batch.column(len(carry)).to_numpy(zero_copy_only=False).astype(bool)
             length, bits = np.diff(offsets), m.bits(raw, offsets)
             known = letters & bool(m.langs)
             best = bits.argmin(0) if m.langs else np.zeros(len(length), int)
@@ -203,4 +203,5 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
             )
 
     letters = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
-    return docs.select(*carry, F.col(text_col).alias("_text"), letters.alias("_letters")).mapInArrow(predict, schema)
+    # a text that is carried needn't come twice
+    return docs.select(*carry, letters.alias("_letters"), *(() if text_col in carry else (text_col,))).mapInArrow(predict, schema)

@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +22,12 @@ from .common import blocks, keep, level, level_floors, text_bytes
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 20
 #: At most so many labelled texts of each class are drawn (by a hash of the id) to fit the classifier.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2500
 #: Features with the largest |r| * sqrt(document frequency) enter the regression.
-FEATURES = 20_000
-SMOOTH, LEAST_DF, PENALTY, STEPS = 1.0, 3, 2e-4, 300
+FEATURES = 6000
+SMOOTH, LEAST_DF, PENALTY, STEPS = 1.0, 3, 2e-4, 200
+#: Characters that are hashed at once.
+WINDOW = 1 << 19
 _LOWER: list[np.ndarray] = []
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -41,15 +42,15 @@ def lowered(chars: np.ndarray) -> np.ndarray:
 def features(raw: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct (row, bucket) of each block of rows. wanted: of these buckets only."""
     bits = np.uint64(BUCKETS.bit_length() - 1)
-    for first, last in blocks(offsets):
+    for first, last in blocks(offsets, 1 << 20):
         chars = lowered(np.frombuffer(raw[offsets[first] : offsets[last]].tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32))
         starts = raw[offsets[first] : offsets[last]] & 0xC0 != 0x80
         ends = np.concatenate([[0], np.cumsum(starts)])[offsets[first : last + 1] - offsets[first]]
         ends[-1] = len(chars)
         rows = np.repeat(np.arange(first, last), np.diff(ends))
         found = []
-        for at in range(0, len(chars), 1 << 20):  # windows that overlap by one n-gram
-            c, r = chars[at : at + (1 << 20) + max(SIZES) - 1], rows[at : at + (1 << 20) + max(SIZES) - 1]
+        for at in range(0, len(chars), WINDOW):  # windows that overlap by one n-gram
+            c, r = chars[at : at + WINDOW + max(SIZES) - 1], rows[at : at + WINDOW + max(SIZES) - 1]
             for n in SIZES:
                 if len(c) < n:
                     continue
@@ -69,7 +70,7 @@ def features(raw: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = N
 def fit(rows: np.ndarray, buckets: np.ndarray, label: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of the buckets that occur, by FISTA on the mean logistic loss plus the L1 penalty. rows ascend."""
     used, column = np.unique(buckets, return_inverse=True)
-    x = ratio[used][column]
+    column, x = column.astype(np.int32), ratio[used][column]
     n, w, b, sign = len(label), np.zeros(len(used)), 0.0, np.where(label > 0, 1.0, -1.0)
     # sqrt(n) times the step that would be safe if all rows were alike; they aren't, and restarts catch what overshoots
     step = 4 * n**0.5 / (float(np.bincount(rows, x * x, n).max(initial=0)) + 1)
@@ -115,7 +116,7 @@ def train_classifier(docs: DataFrame, labels: DataFrame, train: Column, id_col:
         at = np.flatnonzero(df.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[0][at], n[0])), pa.array(np.append(df[1][at], n[1]))], names=["bucket", "df0", "df1"])
 
-    counts = texts.select("text", "label").mapInArrow(frequencies, "bucket long, df0 long, df1 long").groupBy("bucket").agg(F.sum("df0").alias("df0"), F.sum("df1").alias("df1")).where(F.expr(f"df0 + df1 >= {LEAST_DF} or bucket < 0")).toPandas()  # at most BUCKETS rows
+    counts = texts.select("text", "label").mapInArrow(frequencies, "bucket long, df0 long, df1 long").groupBy("bucket").agg(F.sum("df0").alias("df0"), F.sum("df1").alias("df1")).where(F.expr(f"df0 + df1 >= {LEAST_DF} or bucket < 0")).toArrow().to_pandas()  # at most BUCKETS rows
     total = counts[counts.bucket < 0]
     if not len(total) or not total.df0.iloc[0] or not total.df1.iloc[0]:
         return np.zeros(BUCKETS, np.float32), 0.0, 1.0 if len(total) and total.df1.iloc[0] else 0.0
@@ -138,10 +139,10 @@ def train_classifier(docs: DataFrame, labels: DataFrame, train: Column, id_col:
                     names=["id", "label", "buckets"],
                 )
 
-    sample: pd.DataFrame = texts.select("text", "label", F.col("id").cast("string").alias("id")).mapInArrow(chosen, "id string, label int, buckets array<int>").toPandas().sort_values("id", kind="stable")  # FEATURES at most in each
-    lengths = sample.buckets.map(len).to_numpy()
-    label = sample.label.to_numpy()
-    weights, bias = fit(np.repeat(np.arange(len(sample)), lengths), np.concatenate([*sample.buckets.to_numpy(), np.zeros(0, np.int32)]).astype(np.int64), label, ratio)
+    sample = texts.select("text", "label", F.col("id").cast("string").alias("id")).mapInArrow(chosen, "id string, label int, buckets array<int>").toArrow().sort_by("id")  # FEATURES at most in each
+    label, lists = sample.column("label").to_numpy(), sample.column("buckets").combine_chunks()
+    rows = np.repeat(np.arange(len(label), dtype=np.int32), lists.value_lengths().to_numpy())
+    weights, bias = fit(rows, lists.flatten().to_numpy(), label, ratio)
     # the classes were drawn at different rates
     bias += np.log(size[1] / size[0]) - np.log(max(1, (label > 0).sum()) / max(1, (label == 0).sum()))
     return weights, float(bias), float("nan")
@@ -163,12 +164,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "d
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, constant = model.value
+        place = carry.index(text_col) if text_col in carry else len(carry)
         wanted = weights != 0
         for batch in batches:
             z = np.full(batch.num_rows, bias)
-            for rows, buckets in features(*text_bytes(batch.column(len(carry))), wanted):
+            for rows, buckets in features(*text_bytes(batch.column(place)), wanted):
                 z += np.bincount(rows, weights[buckets].astype(np.float64), batch.num_rows)
             score = 1 / (1 + np.exp(-np.clip(z, -700, 700))) if np.isnan(constant) else np.full(batch.num_rows, constant)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*carry, "score", "predicted"])
 
-    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(predict, schema)
+    # a text that is carried needn't come twice
+    return docs.select(*carry, *(() if text_col in carry else (text_col,))).mapInArrow(predict, schema)
