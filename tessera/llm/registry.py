@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language_id, language_model, license_scan, mixing, near_dedup, packing, toxicity, vector_search
+from . import audio, html_text, language_id, language_model, license_scan, mixing, near_dedup, packing, toxicity, vector_search
 from .common import crc_mod, read
 
 
@@ -43,6 +43,10 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.recognise(read(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
@@ -54,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_near_dedup, op4_html_text, op5_mixing, op6_vector_search, op7_language_model, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_near_dedup, op4_html_text, op5_mixing, op6_vector_search, op7_language_model, op8_audio, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
