@@ -80,7 +80,7 @@ class Moments:
     def pearson(self, a: str, b: str) -> float:
         i, j = self.at([a, b])
         bottom = math.sqrt(self.cov[i, i] * self.cov[j, j])
-        return 0.0 if self.n < 3 or bottom == 0 else max(-1.0, min(1.0, self.cov[i, j] / bottom))
+        return 0.0 if self.n < 3 or bottom == 0 else float(np.clip(self.cov[i, j] / bottom, -1, 1))
 
     def beta(self, target: str, given: list[str]) -> np.ndarray | None:
         """Least-squares slopes, None if the design is singular."""
