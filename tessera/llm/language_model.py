@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashIndex, blocks, keep, mixed, text_bytes, word_hashes
+from .common import HashIndex, blocks, keep, mixed, text_bytes, tidy, word_hashes
 
 #: Text in a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
@@ -43,9 +43,12 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataF
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
             for a, b in blocks(offsets, CHUNK_BYTES):
-                word, bounds = word_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                word = np.insert(word, bounds[1:], END)
-                count = np.diff(bounds) + 1
+                hashed, lengths = [], []
+                for i, j in blocks(offsets[a : b + 1], CHUNK_BYTES >> 3):
+                    word, bounds = word_hashes(raw[offsets[a + i] : offsets[a + j]], offsets[a + i : a + j + 1] - offsets[a + i])
+                    hashed.append(np.insert(word, bounds[1:], END))
+                    lengths.append(np.diff(bounds) + 1)
+                word, count = np.concatenate(hashed), np.concatenate(lengths)
                 train = batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
                 hashes, local, times = np.unique(word, return_inverse=True, return_counts=True)
                 order = np.argsort(-times, kind="stable")  # small numbers for frequent words
@@ -59,7 +62,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataF
 
     names = ["chunk", "ids", "train", "counts", "tokens", "words", "trained", "train_tokens"]
     kinds = [T.LongType(), T.ArrayType(docs.schema[id_col].dataType), T.ArrayType(T.BooleanType()), T.ArrayType(T.LongType()), T.BinaryType(), T.BinaryType(), T.BinaryType(), T.LongType()]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col), F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col), F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(tidy(run), T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
 
 
 def vocabularies(chunks: DataFrame) -> DataFrame:
@@ -73,7 +76,7 @@ def vocabularies(chunks: DataFrame) -> DataFrame:
                     n = len(words[at : at + (1 << 16)])
                     yield pa.RecordBatch.from_arrays([pa.array(words[at : at + n]), pa.array(np.full(n, chunk)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(trained[at : at + n].astype(np.int64))], names=["word", "chunk", "local", "n"])
 
-    return chunks.select("chunk", "words", "trained").mapInArrow(run, "word long, chunk long, local int, n long")
+    return chunks.select("chunk", "words", "trained").mapInArrow(tidy(run), "word long, chunk long, local int, n long")
 
 
 def frequent_numbers(words: np.ndarray, index: HashIndex) -> np.ndarray:
@@ -105,7 +108,7 @@ def counted(chunks: DataFrame, index, order: int, contexts=None) -> DataFrame:
                 key, times = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(times)], names=["key", "n"])
 
-    return chunks.select("words", "tokens", "train", "counts").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return chunks.select("words", "tokens", "train", "counts").mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 class Automaton:
@@ -217,6 +220,11 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     model = context.broadcast(Automaton(words, counts, total, size.v, size.ones, size.twos, pairs, pair_counts, contexts, triples, triple_counts))
     floor = total + ADD * (size.v + 1)
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [frequent_numbers(np.frombuffer(w, np.uint64), model.value.words).astype(np.int32).tobytes() for w in batch.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(words, pa.binary())], names=batch.schema.names)
+
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
         m = model.value
         chunk = {c: left.column(c)[0].as_py() for c in ("counts", "tokens", "words", "train")}
@@ -227,7 +235,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         first = np.zeros(len(tokens), bool)
         first[starts] = True
         root, base = m.root(known), np.log10((known + ADD) / floor)
-        log = m.read(frequent_numbers(np.frombuffer(chunk["words"], np.uint64), m.words)[tokens].astype(np.int64), root[tokens], first)
+        log = m.read(np.frombuffer(chunk["words"], np.int32)[tokens].astype(np.int64), root[tokens], first)
         n = len(counts)
         return pa.table({
             "doc_id": pa.chunked_array([x.values for x in left.column("ids")]), "train": pa.array(chunk["train"], pa.bool_()), "n_tokens": pa.array(counts, pa.int64()), "n_known": pa.array(np.add.reduceat(known[tokens] > 0, starts, dtype=np.int64)),
@@ -235,5 +243,6 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         })
 
     kind = docs.schema[id_col].dataType.simpleString()
-    left, right = chunks.select("chunk", "ids", "train", "counts", "tokens", "words").groupBy("chunk"), looked.select("chunk", "local", "c").groupBy("chunk")
+    texts = chunks.select("chunk", "ids", "train", "counts", "tokens", "words")
+    left, right = texts.mapInArrow(tidy(numbered), texts.schema).groupBy("chunk"), looked.select("chunk", "local", "c").groupBy("chunk")
     return left.cogroup(right).applyInArrow(read, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
