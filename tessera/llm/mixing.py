@@ -90,7 +90,7 @@ def partly(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
         a, b = held, i
         up = min(size[a] * (1 - p[a]), size[b] * p[b])  # words that can go from b to a
         down = min(size[a] * p[a], size[b] * (1 - p[b]))
-        move = up if (draw[i] * 0.5 + draw[a] * 0.5) % 1 < down / (up + down) else -down
+        move = up if draw[i] < down / (up + down) else -down
         p[a] += move / size[a]
         p[b] -= move / size[b]
         for k in (a, b):
