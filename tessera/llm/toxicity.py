@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, keep, level, level_floors, text_bytes
+from .common import blocks, keep, level, level_floors, text_bytes, tidy
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -116,7 +116,7 @@ def train_classifier(docs: DataFrame, labels: DataFrame, train: Column, id_col:
         at = np.flatnonzero(df.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[0][at], n[0])), pa.array(np.append(df[1][at], n[1]))], names=["bucket", "df0", "df1"])
 
-    counts = texts.select("text", "label").mapInArrow(frequencies, "bucket long, df0 long, df1 long").groupBy("bucket").agg(F.sum("df0").alias("df0"), F.sum("df1").alias("df1")).where(F.expr(f"df0 + df1 >= {LEAST_DF} or bucket < 0")).toArrow().to_pandas()  # at most BUCKETS rows
+    counts = texts.select("text", "label").mapInArrow(tidy(frequencies), "bucket long, df0 long, df1 long").groupBy("bucket").agg(F.sum("df0").alias("df0"), F.sum("df1").alias("df1")).where(F.expr(f"df0 + df1 >= {LEAST_DF} or bucket < 0")).toArrow().to_pandas()  # at most BUCKETS rows
     total = counts[counts.bucket < 0]
     if not len(total) or not total.df0.iloc[0] or not total.df1.iloc[0]:
         return np.zeros(BUCKETS, np.float32), 0.0, 1.0 if len(total) and total.df1.iloc[0] else 0.0
@@ -139,7 +139,7 @@ def train_classifier(docs: DataFrame, labels: DataFrame, train: Column, id_col:
                     names=["id", "label", "buckets"],
                 )
 
-    sample = texts.select("text", "label", F.col("id").cast("string").alias("id")).mapInArrow(chosen, "id string, label int, buckets array<int>").toArrow().sort_by("id")  # FEATURES at most in each
+    sample = texts.select("text", "label", F.col("id").cast("string").alias("id")).mapInArrow(tidy(chosen), "id string, label int, buckets array<int>").toArrow().sort_by("id")  # FEATURES at most in each
     label, lists = sample.column("label").to_numpy(), sample.column("buckets").combine_chunks()
     rows = np.repeat(np.arange(len(label), dtype=np.int32), lists.value_lengths().to_numpy())
     weights, bias = fit(rows, lists.flatten().to_numpy(), label, ratio)
@@ -174,4 +174,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "d
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*carry, "score", "predicted"])
 
     # a text that is carried needn't come twice
-    return docs.select(*carry, *(() if text_col in carry else (text_col,))).mapInArrow(predict, schema)
+    return docs.select(*carry, *(() if text_col in carry else (text_col,))).mapInArrow(tidy(predict), schema)
