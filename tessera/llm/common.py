@@ -75,19 +75,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-#: What a Python worker keeps from task to task, by (operator, name).
-HELD: dict = {}
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the rows of an Arrow batch where the session has the default: whole texts are large rows."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
 
 
-def tidy(run, operator: str = ""):
-    """``run`` (over an iterator of batches) with memory in check, since Python workers live on.
-
-    What other operators hold is dropped first, and free memory goes back to the system when the task is done.
-    """
+def tidy(run):
+    """``run`` (over an iterator of batches), returning free memory to the system when a task is done: Python workers live on."""
 
     def tidied(batches):
-        for key in [k for k in HELD if k[0] != operator]:
-            del HELD[key]
         try:
             yield from run(batches)
         finally:

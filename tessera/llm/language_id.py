@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashIndex, blocks, level, level_floors, text_bytes, tidy
+from .common import HashIndex, blocks, level, level_floors, small_batches, text_bytes, tidy
 
 #: Bytes in the longest n-gram: a context of four and the byte after it.
 LONGEST = 5
@@ -204,4 +204,4 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
 
     letters = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
     # a text that is carried needn't come twice
-    return docs.select(*carry, letters.alias("_letters"), *(() if text_col in carry else (text_col,))).mapInArrow(tidy(predict), schema)
+    return small_batches(docs).select(*carry, letters.alias("_letters"), *(() if text_col in carry else (text_col,))).mapInArrow(tidy(predict), schema)

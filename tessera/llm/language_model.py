@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashIndex, blocks, keep, mixed, text_bytes, tidy, word_hashes
+from .common import HashIndex, blocks, keep, mixed, small_batches, text_bytes, tidy, word_hashes
 
 #: Text in a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
@@ -62,7 +62,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataF
 
     names = ["chunk", "ids", "train", "counts", "tokens", "words", "trained", "train_tokens"]
     kinds = [T.LongType(), T.ArrayType(docs.schema[id_col].dataType), T.ArrayType(T.BooleanType()), T.ArrayType(T.LongType()), T.BinaryType(), T.BinaryType(), T.BinaryType(), T.LongType()]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col), F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(tidy(run), T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col), F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(tidy(run), T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
 
 
 def vocabularies(chunks: DataFrame) -> DataFrame:

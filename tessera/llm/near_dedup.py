@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, keep, mixed, text_bytes, tidy, word_hashes
+from .common import blocks, keep, mixed, small_batches, text_bytes, tidy, word_hashes
 
 WORDS, PERCENT = 5, 75
 CHUNKS, LANES, BITS = 8, 4, 14
@@ -94,7 +94,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
 
     names = ["doc_id", "n_shingles", "h1", "h2", *SKETCH]
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in names[1:])])
-    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(tidy(describe), schema)
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(tidy(describe), schema)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-from .common import HELD, keep, tidy
+from .common import keep, small_batches, tidy
 
 SEQUENCE, END = 2048, 1
-#: Words whose ids a Python worker remembers; then it starts anew.
+#: Words whose ids a task remembers; then it starts anew.
 CACHE_WORDS = 1_000_000
 
 
@@ -117,9 +117,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
     """Each document's ids (with END) as bytes, its partition and its place in that partition's stream."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if ("packing", path) not in HELD:
-            HELD["packing", path] = WordIds(path)
-        cache = HELD["packing", path]
+        cache = WordIds(path)  # for this task
         part, place, end = TaskContext.get().partitionId(), 0, np.array([END], cache.kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -131,7 +129,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(tokens), pa.array(ids, pa.binary())], names=["doc_id", "part", "place", "doc_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(tidy(encode, "packing"), f"doc_id {kind}, part int, place long, doc_tokens long, ids binary")
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(tidy(encode), f"doc_id {kind}, part int, place long, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, digest: bool = False) -> DataFrame:
@@ -175,4 +173,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return stream.mapInArrow(tidy(cut, "packing"), f"doc_id {kind}, start long, length long, {column} {'long' if digest else 'binary'}, doc_tokens long, sequence_id long, offset long")
+    return stream.mapInArrow(tidy(cut), f"doc_id {kind}, start long, length long, {column} {'long' if digest else 'binary'}, doc_tokens long, sequence_id long, offset long")

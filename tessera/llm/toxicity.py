@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, keep, level, level_floors, text_bytes, tidy
+from .common import blocks, keep, level, level_floors, small_batches, text_bytes, tidy
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -174,4 +174,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "d
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*carry, "score", "predicted"])
 
     # a text that is carried needn't come twice
-    return docs.select(*carry, *(() if text_col in carry else (text_col,))).mapInArrow(tidy(predict), schema)
+    return small_batches(docs).select(*carry, *(() if text_col in carry else (text_col,))).mapInArrow(tidy(predict), schema)
