@@ -124,17 +124,44 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
+def ranged(df: DataFrame, by: list[str]) -> DataFrame:
+    """Adds _part: the range of the row's key, rising with the key (nulls first).
+
+    The bounds are drawn once and then are constants of the plan. Spark's own range partitions are
+    drawn anew by every job, so counts taken in one job needn't hold in the next.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(by)))
+    keys = df.select(key.alias("k"))
+    n = keys.count()
+    drawn = keys.where(F.rand(7) < 50 * parts / max(n, 1)).orderBy("k").collect()  # about 50 a range
+    bounds = [drawn[i * len(drawn) // parts].k for i in range(1, parts)] if len(drawn) > parts else []
+    if not bounds:
+        return df.withColumn("_part", F.lit(0))
+    kinds = [df.schema[c].dataType for c in by]
+    bound = lambda k: F.struct(*(F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(k, kinds))))
+    # two levels of about sqrt(parts) comparisons each
+    width = math.isqrt(len(bounds) - 1) + 1
+    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    reached = lambda array: F.size(F.filter(array, lambda b: b <= key))
+    coarse = reached(F.array(*(bound(g[0]) for g in groups[1:]))) if len(groups) > 1 else F.lit(0)
+    fine = F.element_at(F.array(*(F.array(*map(bound, g)) for g in groups)), coarse + 1)
+    return df.withColumn("_part", coarse * width + reached(fine))
+
+
+def with_offsets(parts: DataFrame, weight: Column) -> DataFrame:
+    """Adds _offset: the total weight of the ranges before the row's own."""
+    totals = {p: t for p, t in parts.groupBy("_part").agg(F.sum(weight)).collect()}  # one row a range
+    offsets = [0]
+    for p in range(max(totals, default=0)):
+        offsets.append(offsets[-1] + totals.get(p, 0))
+    return parts.withColumn("_offset", F.element_at(F.array(*(F.lit(x).cast("long") for x in offsets)), F.col("_part") + 1))
+
+
 def below(counts: DataFrame, value: str, n: str) -> DataFrame:
-    """Adds _below: the total of ``n`` over smaller values; sorted ranges are summed apart, then offset by the ranges before them."""
-    parts = counts.repartitionByRange(F.col(value)).withColumn("_part", F.spark_partition_id())
-    totals = [(p, t) for p, t in parts.groupBy("_part").agg(F.sum(n)).collect()]  # one row a partition
-    offset, rows = 0, []
-    for p, t in sorted(totals):
-        rows.append((p, offset))
-        offset += t
-    before = counts.sparkSession.createDataFrame(rows, "_part int, _offset long")
+    """Adds _below: the total of ``n`` over smaller values; ranges are summed apart, then offset by the ranges before them."""
     w = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return parts.join(F.broadcast(before), "_part").withColumn("_below", F.col("_offset") + F.coalesce(F.sum(n).over(w), F.lit(0))).drop("_part", "_offset")
+    return with_offsets(ranged(counts, [value]), F.col(n)).withColumn("_below", F.col("_offset") + F.coalesce(F.sum(n).over(w), F.lit(0))).drop("_part", "_offset")
 
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:

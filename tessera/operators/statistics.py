@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import Moments, average_ranks, below, bucket, chi2_p, complete, f_p, fit_linear, permissive, quantile_edges, r
+from ..functions.numeric import Moments, average_ranks, below, bucket, chi2_p, complete, f_p, fit_linear, permissive, quantile_edges, r, ranged, with_offsets
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -156,16 +156,10 @@ def copula_tail(df: DataFrame, a: str, b: str, tail: float = 0.05, band: int = 5
     return {"field_a": a, "field_b": b, "samples": n, "upper_tail_dependence": r(upper, 4), "lower_tail_dependence": r(lower, 4), "tail_asymmetry": r(upper - lower, 4), "kendall_tau": r(tau, 4), "spearman_rho": r(x[2] or 0.0, 4), "pearson_r": r(x[3] or 0.0, 4)}
 
 
-def numbered_rows(df: DataFrame, by: list[str | Column]) -> DataFrame:
+def numbered_rows(df: DataFrame, by: list[str]) -> DataFrame:
     """Adds _n = 0, 1, ... in the order of ``by``: ranges are numbered apart, then offset by the ranges before them."""
-    parts = df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
-    offset, rows = 0, []
-    for p, t in sorted(tuple(x) for x in parts.groupBy("_part").count().collect()):
-        rows.append((p, offset))
-        offset += t
-    before = df.sparkSession.createDataFrame(rows, "_part int, _offset long")
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
-    return parts.join(F.broadcast(before), "_part").withColumn("_n", F.col("_offset") + local - 1).drop("_part", "_offset")
+    return with_offsets(ranged(df, by), F.lit(1)).withColumn("_n", F.col("_offset") + local - 1).drop("_part", "_offset")
 
 
 def polynomial_test(df: DataFrame, x: str, y: str, max_degree: int = 3) -> dict:

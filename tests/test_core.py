@@ -44,6 +44,16 @@ def test_ranks_and_fit(spark):
     assert (fit["slope"], fit["intercept"], fit["r2"]) == pytest.approx((2, 1, 1))
 
 
+def test_row_numbers_of_many_rows(spark):
+    df = spark.range(200_000).selectExpr("xxhash64(id) as v", "1L as n")  # many more than Spark draws to find ranges
+    for found, name in ((numeric.below(df, "v", "n"), "_below"), (statistics.numbered_rows(df, ["v"]), "_n")):
+        low, high, places = found.selectExpr(f"min({name})", f"max({name})", f"count(distinct {name})").first()
+        assert (low, high, places) == (0, 199_999, 200_000)
+    assert numeric.below(df.where("n > 1"), "v", "n").count() == 0
+    nulls = statistics.numbered_rows(spark.createDataFrame([("b",), (None,), ("a",)], "s string"), ["s"])
+    assert [x.s for x in nulls.orderBy("_n").collect()] == [None, "a", "b"]
+
+
 def test_regress_and_driver(spark):
     g = random.Random(99)
     rows = [(a := g.gauss(0, 1), b := g.gauss(0, 1), 3 * a + 2 * b + 10 + 0.1 * g.gauss(0, 1)) for _ in range(30)]
