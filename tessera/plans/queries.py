@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import rounded
 from ..operators import insights, query, statistics
 from ..operators.query import aggregate, group_by, page, predicate
+from . import grid_queries
 
 EIGHT = query.FUNCTIONS
 R4 = "floor({} * 10000 + 0.5) / 10000"
@@ -199,7 +200,7 @@ ALL = (agg_global_all8, group_by_multi, filter_and_or, filter_in, filter_not_in_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in ALL} | grid_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -207,7 +208,7 @@ def oracle_sql() -> dict[str, str]:
     total = lambda c: R4.format(f"sum({c}::decimal(28,2))::double")
     median = lambda c: f"case when count({c}) % 2 = 0 then {R4.format(f'median({c})')} else median({c}) end"
     x, y, z = "l_quantity", "l_extendedprice", "l_discount"
-    return {
+    return grid_queries.oracle_sql() | {
         "agg_global_all8": f"select {total(y)} as sum, {mean(y)} as mean, {median(y)} as median, min({y}) as min, max({y}) as max, {R4.format(f'stddev_pop({y})')} as std, count({y}) as count, count(distinct {y}) as count_distinct from lineitem",
         "group_by_multi": f"select l_returnflag, l_linestatus, {mean(y)} as mean_l_extendedprice, {total(x)} as sum_l_quantity, count({x}) as count_l_quantity, {median(z)} as median_l_discount from lineitem group by all",
         "filter_and_or": "select o_orderkey, o_totalprice from orders where o_totalprice > 1000 and (o_orderstatus = 'F' or contains(lower(o_orderpriority), 'urgent'))",
