@@ -57,6 +57,11 @@ class Grid:
     vertices: DataFrame
     edges: DataFrame | None = None
 
+    def release(self) -> None:
+        for df in (self.vertices, self.edges):
+            if df is not None:
+                df.unpersist()
+
     @property
     def strides(self) -> list[int]:
         out = [1]
