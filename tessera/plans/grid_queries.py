@@ -176,9 +176,9 @@ def oracle_sql() -> dict[str, str]:
         "grid_measures": f"with {e} select e.c0 as segment, e.c1 as year, count(*) as degree, {up(f'(({off(0)}) + ({off(1)})) / 2', 6)} as curvature, {up('4 - count(*) - avg(k.degree)', 4)} as forman_ricci, case when bool_and(g0 > f0) then 'minimum' when bool_and(g0 < f0) then 'maximum' when count_if(g0 > f0) >= 2 and count_if(g0 < f0) >= 2 then 'saddle' else 'regular' end as morse from e join k on k.c0 = e.d0 and k.c1 = e.d1 group by e.c0, e.c1",
         "grid_wraps": f"with {v}, {lows}, t as (select any_value(m) >= 4 and count_if(low) >= 3 and count_if(high) >= 3 and (({alike(0)}) + ({alike(1)})) / 2 >= 0.6 as w, {flip(0)} + {flip(1)} as flips from b) select 'c_mktsegment' as \"column\", false as wraps, 0 as wrap_orientation union all select 'year', w, case when not w then 0 when flips > 1 then -1 else 1 end from t",
         "grid_interactions": f"with {e}, t as (select {product('')} / {product('abs')} as c, count(*) as samples from e) select {up('c', 4)} as gradient_correlation, case when c > 0.1 then 'synergistic' when c < -0.1 then 'antagonistic' else 'weak' end as direction, samples from t where samples >= 10 and abs(c) >= 0.05",
-        "grid_faces": f"with {f}, t as (select (select count(*) from f) as faces, (select (count(distinct i) - 1) * (count(distinct p) - 1) from w) as possible_faces, (select count(*) from x) as face_vertex_count, (select count(*) from n) as face_edge_count, (select count_if(c = 1) from n) as boundary_edges, (select count_if(c > 2) from n) as nonmanifold_edges) select *, face_vertex_count - face_edge_count + faces as face_euler_characteristic from t",
+        "grid_faces": f"with {f}, t as (select (select count(*) from f) as faces, (select (count(distinct i) - 1) * (count(distinct p) - 1) from w) as possible_faces, (select count(*) from x) as face_vertex_count, (select count(*) from n) as face_edge_count, (select count(*) from n where c = 1) as boundary_edges, (select count(*) from n where c > 2) as nonmanifold_edges) select *, face_vertex_count - face_edge_count + faces as face_euler_characteristic from t",
         "grid_walk": f"with {v} select c1 as axis_value, {up('avg(f0)', 2)} as mean, {up('min(f0)', 2)} as min, {up('max(f0)', 2)} as max, count(*) as points from v group by c1",
         "grid_coverage": f"with {e} select count(*) as vertices, (select count(*) // 2 from e) as edges, count(*) - (select count(*) from k) as isolated_vertices, {up('avg(density)', 4)} as mean, min(density) as min, max(density) as max from v",
         "grid_navigate": f"with {e} select case when c0 <> d0 then 'c_mktsegment: ' || c0 || ' -> ' || d0 else 'year: ' || c1 || ' -> ' || d1 end as direction, {up('g0 - f0', 2)} as delta from e where (c0, c1) = (select (c0, c1) from v order by c0, c1 limit 1)",
-        "grid_vector_field": f"with {e}, t as (select avg(g0 - f0) as d from e group by c0, c1), m as (select avg(d) as m, stddev_pop(d) as sd from t) select count(*) as vertices_analyzed, {up('any_value(m)', 2)} as mean_divergence, {up('any_value(sd)', 2)} as std_divergence, count_if((d - m) / sd > 1.5) as n_sources, count_if((d - m) / sd < -1.5) as n_sinks from t, m",
+        "grid_vector_field": f"with {e}, t as (select avg(g0 - f0) as d from e group by c0, c1), m as (select avg(d) as m, stddev_pop(d) as sd from t) select count(*) as vertices_analyzed, {up('any_value(m)', 2)} as mean_divergence, {up('any_value(sd)', 2)} as std_divergence, count(*) filter ((d - m) / sd > 1.5) as n_sources, count(*) filter ((d - m) / sd < -1.5) as n_sinks from t, m",
     }

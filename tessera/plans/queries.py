@@ -208,6 +208,12 @@ def oracle_sql() -> dict[str, str]:
     total = lambda c: R4.format(f"sum({c}::decimal(28,2))::double")
     median = lambda c: f"case when count({c}) % 2 = 0 then {R4.format(f'median({c})')} else median({c}) end"
     x, y, z = "l_quantity", "l_extendedprice", "l_discount"
+    cov = lambda a, b: f"covar_pop({a}, {b})"
+    r6 = lambda e: f"floor(({e}) * 1000000 + 0.5) / 1000000"
+    # nearest-rank edges, and the first bucket whose upper edge isn't below the value
+    edges = lambda c, bins: f"(select list(v order by i) from (select {c} as v, row_number() over (order by {c}) - 1 as i, count(*) over () as n from lineitem) where i in (select floor((n - 1) * b / {bins} + 0.5) from range(1, {bins + 1}) r(b)))"
+    place = lambda c, e, bins: f"least({bins - 1}, {' + '.join(f'({c} > {e}[{b}])::int' for b in range(1, bins + 1))})"
+    part = lambda by: f"select -sum(p * ln(p)) as h from (select count(*) / sum(count(*)) over () as p from b group by {by})"
     return grid_queries.oracle_sql() | {
         "agg_global_all8": f"select {total(y)} as sum, {mean(y)} as mean, {median(y)} as median, min({y}) as min, max({y}) as max, {R4.format(f'stddev_pop({y})')} as std, count({y}) as count, count(distinct {y}) as count_distinct from lineitem",
         "group_by_multi": f"select l_returnflag, l_linestatus, {mean(y)} as mean_l_extendedprice, {total(x)} as sum_l_quantity, count({x}) as count_l_quantity, {median(z)} as median_l_discount from lineitem group by all",
@@ -222,6 +228,11 @@ def oracle_sql() -> dict[str, str]:
         "fingerprint_dedup": "select sha256(text) as fingerprint, min(doc_id) as doc_id, count(*) as copies from documents group by 1",
         "token_estimate": "select doc_id, ((length(text) + 3) // 4)::bigint as tokens from documents",
         "linear_fit": f"select round(regr_slope({y}, {x}), 4) as slope, round(regr_intercept({y}, {x}), 4) as intercept, round(regr_r2({y}, {x}), 4) as r2, count(*) as samples from lineitem",
+        "regress_2": f"with m as (select count(*) as n, {cov(x, x)} as a, {cov(x, z)} as b, {cov(z, z)} as c, {cov(x, y)} as p, {cov(z, y)} as q, var_pop({y}) as v from lineitem), s as (select *, (p * c - q * b) / (a * c - b * b) as s, (q * a - p * b) / (a * c - b * b) as t from m) select n as samples, round({r6('(s * p + t * q) / v')}, 4) as r2, round({r6('s')}, 3) as b_quantity, round({r6('t')}, 3) as b_discount from s",
+        "mutual_info": f"with e as (select {edges(x, 4)} as ex, {edges(y, 4)} as ey), b as (select {place(x, 'ex', 4)} as i, {place(y, 'ey', 4)} as j from lineitem, e), h as (select ({part('i')}) as hi, ({part('j')}) as hj, ({part('i, j')}) as hij) select {r6('greatest(0, hi + hj - hij)')} as mutual_info, {r6('greatest(0, hi + hj - hij) / least(hi, hj)')} as normalized_mi from h",
+        "regimes": f"with e as (select {edges(x, 6)} as e), b as (select {place(x, 'e', 6)} as b, avg({y}) as m from lineitem, e group by 1), l as (select r.b, coalesce(m, 0) as m from range(6) r(b) left join b on b.b = r.b) select k.b || '->' || l.b as between_bucket, {R4.format('(l.m - k.m)')} as target_jump from l k join l on l.b = k.b + 1",
+        "ergodicity": f"with s as (select value as v, row_number() over (order by event_id) - 1 as i, count(*) over () as n from events where value is not null), c as (select w, c, avg(v) as m from s, (values (10), (25), (50), (100)) t(w), (values (0), (1), (2)) k(k), lateral (select i // (w // 2) - k as c) where c >= 0 and i >= c * (w // 2) and i < c * (w // 2) + w and c <= (n - w) // (w // 2) group by w, c) select w as window, {R4.format('avg(m)')} as mean_of_means, {R4.format('stddev_pop(m)')} as spread_of_means, count(*) as n_chunks from c group by w",
+        "changepoints": f"with recursive s as (select o_totalprice as v, row_number() over (order by o_orderkey) - 1 as i, count(*) over () as n, stddev_pop(o_totalprice) over () as d from orders), h as (select i, abs(avg(v) over (order by i rows between current row and 9 following) - avg(v) over (order by i rows between 10 preceding and 1 preceding)) / d as z, n from s), k as (select i, z from h where i between 10 and n - 10 and z > 1.5), t as (select (select min(i) from k) as i union all select (select min(k.i) from k where k.i >= t.i + 10) from t where t.i is not null) select k.i as index, {R4.format('z')} as magnitude from t join k on k.i = t.i",
         "partial_corr": f"with c as (select corr({y}, {z}) as ab, corr({y}, {x}) as ac, corr({z}, {x}) as bc, count(*) as n from lineitem) select n as samples, {R4.format('ab')} as raw_correlation, {R4.format('((ab - ac * bc) / sqrt((1 - ac * ac) * (1 - bc * bc)))')} as partial_correlation from c",
         "rank_corr": f"with k as (select *, rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2.0 as a, rank() over (order by p_retailprice) + (count(*) over (partition by p_retailprice) - 1) / 2.0 as b from part) select count(*) as samples, {R4.format('corr(a, b)')} as spearman, {R4.format('corr(p_size, p_retailprice)')} as pearson from k",
         "chi_squared": f"with c as (select o_orderstatus a, o_orderpriority b, count(*) n from orders group by all), l as (select a, sum(n) na from c group by a), r as (select b, sum(n) nb from c group by b), t as (select sum(n) n from c), x as (select sum((coalesce(c.n, 0) - na * nb / t.n) * (coalesce(c.n, 0) - na * nb / t.n) / (na * nb / t.n))::double as chi, any_value(t.n)::double as n from l cross join r cross join t left join c using (a, b)), k as (select (select count(*) from l) as ka, (select count(*) from r) as kb) select n::bigint as samples, {R4.format('chi')} as chi_squared, ((ka - 1) * (kb - 1))::int as dof, {R4.format('sqrt(chi / n / (least(ka, kb) - 1))')} as cramers_v from x, k",
