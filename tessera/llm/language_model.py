@@ -1,17 +1,14 @@
 """Language-model scores by a weighted backoff automaton of word n-grams.
 
-Counts of all words and of the n-grams over frequent words are taken over the whole training part. A state
-is a context: none, one frequent word, or two that are frequent together. Each has arcs for the words
-that follow it often, with absolutely discounted probabilities, and a failure arc to its next
-shorter context whose weight makes the whole a distribution. The state without context knows every
-word; a class for unknown words gets the mass that discounting frees. A text is read once from left to right; the
-state is carried along and the logarithms of the arcs taken are summed.
-
-A word outside the frequent ones leads back to the state without context, so the stretches between such words
-are read side by side, in whole arrays.
-
-Texts are held in chunks with a vocabulary of their own; only (word, chunk) pairs are
-shuffled, to sum the counts and to send them back. Words are compared by 64-bit hashes.
+Counts of all words, pairs and triples are taken over the whole training part; none is left out. A state
+is a context: none, one word, or two. Each has arcs for the words that follow it, and a failure arc
+to its next shorter context. Counts are absolutely discounted; what that frees, in proportion to the distinct words that
+follow, is the weight of the failure arc, and an arc's probability includes that share of the shorter context's, so the whole is
+a distribution. The state without context knows every word; a class for unknown words gets the mass that discounting frees there.
+
+The automaton is nowhere whole. Texts are held in chunks with a vocabulary of their own; a chunk sends its distinct n-grams
+to shards of the keys, packed as arrays, and gets their counts and their contexts' followers back in the same order. Pairs
+are spread by both words, triples by their first two. Words are compared by 64-bit hashes, pairs by hashes of these.
 """
 
 from __future__ import annotations
@@ -21,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,10 +26,9 @@ from .common import HashIndex, blocks, keep, mixed, small_batches, text_bytes, t
 
 #: Text in a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
-#: Contexts are words and pairs with this share of the training tokens at least (so 1 / CONTEXT of each at most), arcs are n-grams with that share.
-CONTEXT, ARC = 1e-4, 1e-6
 END = np.uint64(0x454E44)  # the end of a text; words' hashes are mixed and don't meet it but by chance
 ADD = 0.1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
@@ -65,54 +61,101 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataF
     return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col), F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(tidy(run), T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
 
 
-def vocabularies(chunks: DataFrame) -> DataFrame:
-    """word, chunk, local, n (in training texts) of every word of every chunk."""
+def grams(words: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray], list[np.ndarray]]:
+    """Of a chunk's words, pairs and triples: (key, other) of the distinct ones, where each stands in the chunk, which it is there.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, words, trained in zip(*(c.to_pylist() for c in batch.columns)):
-                words, trained = np.frombuffer(words, np.int64), np.frombuffer(trained, np.uint32)
-                for at in range(0, len(words), 1 << 16):
-                    n = len(words[at : at + (1 << 16)])
-                    yield pa.RecordBatch.from_arrays([pa.array(words[at : at + n]), pa.array(np.full(n, chunk)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(trained[at : at + n].astype(np.int64))], names=["word", "chunk", "local", "n"])
-
-    return chunks.select("chunk", "words", "trained").mapInArrow(tidy(run), "word long, chunk long, local int, n long")
-
-
-def frequent_numbers(words: np.ndarray, index: HashIndex) -> np.ndarray:
-    """1, 2, ... for the frequent of these words, else 0."""
-    return index.find(words) + 1
-
-
-def counted(chunks: DataFrame, index, order: int, contexts=None) -> DataFrame:
-    """key, n of the n-grams of ``order`` frequent words in training texts; key: the numbers as digits of base size + 1. contexts: keys of pairs that may begin one of three."""
+    Keys ascend: a word's hash; the hash of a pair; the hash of a triple's first two. other: the first word of a pair, the last of a triple.
+    """
+    tokens, first = tokens.astype(np.int64), np.zeros(len(tokens), bool)
+    first[np.cumsum(counts) - counts] = True
+    order = np.argsort(words)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    words, tokens = words[order], rank[tokens]
+    at2 = np.flatnonzero(~first)
+    pair, pair_at = np.unique(tokens[at2 - 1] << 32 | tokens[at2], return_inverse=True)
+    key = joined(words[pair >> 32], words[pair & 0xFFFFFFFF])
+    by_key = np.argsort(key)
+    moved = np.empty_like(by_key)
+    moved[by_key] = np.arange(len(by_key))
+    key, pair, pair_at = key[by_key], pair[by_key], moved[pair_at]
+    number = np.full(len(tokens), -1)
+    number[at2] = pair_at
+    at3 = at2[~first[at2 - 1]]
+    triple, triple_at = np.unique(number[at3 - 1] << 32 | tokens[at3], return_inverse=True)
+    found = [(words, words), (key, words[pair >> 32]), (key[triple >> 32], words[triple & 0xFFFFFFFF])]
+    return found, [np.arange(len(tokens)), at2, at3], [tokens, pair_at, triple_at]
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each pair."""
+    return mixed(a * _ODD + b)
+
+
+def sent(chunks: DataFrame, orders: tuple[int, ...], bits: int) -> DataFrame:
+    """The distinct n-grams of each chunk and their training counts, cut by the first ``bits`` of their keys into shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, base = index.value
         for batch in batches:
-            for words, tokens, train, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                f = frequent_numbers(np.frombuffer(words, np.uint64), known)[np.frombuffer(tokens, np.uint32)].astype(np.int64)
-                f[~np.repeat(np.array(train, bool), counts)] = 0
-                doc = np.repeat(np.arange(len(counts)), counts)
-                n = len(f) - order + 1
-                if n <= 0:
-                    continue
-                own = doc[:n] == doc[order - 1 :]
-                key = np.zeros(n, np.int64)
-                for i in range(order):
-                    own &= f[i : i + n] > 0
-                    key = key * base + f[i : i + n]
-                key = key[own]
-                if contexts is not None:
-                    key = key[contexts.value.find((key // base).astype(np.uint64)) >= 0]
-                key, times = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(times)], names=["key", "n"])
-
-    return chunks.select("words", "tokens", "train", "counts").mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            for chunk, words, tokens, train, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                found, at, which = grams(np.frombuffer(words, np.uint64), np.frombuffer(tokens, np.uint32), np.array(counts))
+                train = np.repeat(np.array(train, bool), counts)
+                for order in orders:
+                    key, other = found[order - 1]
+                    n = np.bincount(which[order - 1][train[at[order - 1]]], minlength=len(key)).astype(np.uint32)
+                    shard, start = np.unique(key >> np.uint64(64 - bits), return_index=True)
+                    for first in range(0, len(shard), 256):
+                        cut = [slice(i, j) for i, j in zip(start, [*start[1:], len(key)])][first : first + 256]
+                        some = [pa.array(np.full(len(cut), order, np.int32)), pa.array(shard[first : first + 256].astype(np.int64)), pa.array(np.full(len(cut), chunk))]
+                        yield pa.RecordBatch.from_arrays(some + [pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (key, other if order > 1 else other[:0], n)], names=names)
+
+    names = ["order", "shard", "chunk", "key", "other", "n"]
+    return chunks.select("chunk", "words", "tokens", "train", "counts").mapInArrow(tidy(run), "order int, shard long, chunk long, key binary, other binary, n binary")
+
+
+def totals(rows: DataFrame, bits: int) -> DataFrame:
+    """For each n-gram sent its count in all chunks (n) and the words that follow its context (t, of a word: follow it), in the order sent.
+
+    seen, ones, twos: how many n-grams were counted at all, once and twice (in one row of a shard). Rows of order 0 hold
+    words and how many follow them: pairs yield them for the shards of words.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        order, shard = table.column("order").to_numpy(), table.column("shard")[0].as_py()
+        whole = int(order.max())
+        read = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+        keys = read("key", np.uint64)
+        length = np.array([len(k) for k in keys])
+        key, n = np.concatenate(keys), np.concatenate(read("n", np.uint32)).astype(np.int64)
+        del keys
+        other = np.concatenate(read("other", np.uint64)) if whole > 1 else None
+        asked = np.repeat(order > 0, length)
+        same, first, at = np.unique(joined(key, other) if whole == 3 else key, return_index=True, return_inverse=True)
+        count = np.bincount(at[asked], n[asked], len(same)).astype(np.int64)
+        out, follow = [], np.zeros(len(key), np.int64)
+        if whole == 1:
+            follow = np.bincount(at[~asked], n[~asked], len(same)).astype(np.int64)[at]
+        elif whole == 2:
+            word, times = np.unique(other[first[count > 0]], return_counts=True)
+            to, start = np.unique(word >> np.uint64(64 - bits), return_index=True)
+            out = [(0, int(s), None, word[i:j].tobytes(), times[i:j].astype(np.uint32).tobytes(), 0, 0, 0) for s, i, j in zip(to, start, [*start[1:], len(word)])]
+        else:
+            context, of = np.unique(key, return_inverse=True)
+            follow = np.bincount(of[first[count > 0]], minlength=len(context))[of]
+        seen = [int((count > 0).sum()), int((count == 1).sum()), int((count == 2).sum())]
+        back, end = count[at], np.cumsum(length)
+        for k, chunk, i, j in zip(order.tolist(), table.column("chunk").to_pylist(), end - length, end):
+            if k:
+                out.append((k, shard, chunk, back[i:j].tobytes(), follow[i:j].tobytes() if k != 2 else b"", *seen))
+                seen = [0, 0, 0]
+        return pa.table([pa.array(list(x), f.type) for x, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+
+    schema = pa.schema([("order", pa.int32()), ("shard", pa.int64()), ("chunk", pa.int64()), ("n", pa.binary()), ("t", pa.binary()), ("seen", pa.int64()), ("ones", pa.int64()), ("twos", pa.int64())])
+    return rows.withColumn("kind", F.greatest("order", F.lit(1))).groupBy("kind", "shard").applyInArrow(run, "order int, shard long, chunk long, n binary, t binary, seen long, ones long, twos long")
 
 
 class Automaton:
-    """States 0 (no context), 1..size (a word), then pairs; arcs by state * (size + 1) + word. Natural logarithms."""
+    """A backoff automaton of given arcs in memory (``score`` doesn't use it). States 0 (no context), 1..size (a word), then pairs; arcs by state * (size + 1) + word. Natural logarithms."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, vocabulary: int, ones: int, twos: int, pairs: np.ndarray, pair_counts: np.ndarray, contexts: np.ndarray, triples: np.ndarray, triple_counts: np.ndarray):
         self.size, self.base, self.total = len(words), len(words) + 1, total
@@ -194,6 +237,16 @@ class Automaton:
         return out
 
 
+def discount(ones: int, twos: int) -> float:
+    return float(np.clip(ones / max(1, ones + 2 * twos), 0.1, 0.9))
+
+
+def continued(lower: np.ndarray, n: np.ndarray, context: np.ndarray, followers: np.ndarray, off: float) -> np.ndarray:
+    """Probabilities one word of context further: of an arc taken n times from a state of this count, or of failing to the next shorter context; a context not counted is no state."""
+    many = np.maximum(context, 1)
+    return np.where(context > 0, (np.maximum(n - off, 0) + off * followers * lower) / many, lower)
+
+
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, train, n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -201,48 +254,36 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     Without any training text every token has probability 1 under the model and 1 / (1 + V) = 1 in the base score. Repeated rows and
     null ids each get a row (and each repeat counts if it trains); other columns are not read.
     """
-    context = docs.sparkSession.sparkContext
     chunks = keep(chunked(docs, id_col, text_col, train), "chunks")
-    total = int(chunks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0))).first()[0])
-    by_word = Window.partitionBy("word")
-    looked = vocabularies(chunks).withColumn("c", F.sum("n").over(by_word)).withColumn("first", F.row_number().over(by_word.orderBy("chunk", "local")) == 1)
-    often = F.col("first") & (F.col("c") >= total * CONTEXT) & (F.col("c") >= 2)
-    looked = keep(looked.select("chunk", "local", "c", "first", F.when(often, F.col("word")).alias("word")), "counts")
-    size = looked.where("first and c > 0").agg(F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos")).first()
-    top = sorted((r.word, r.c) for r in looked.where("word is not null").select("word", "c").collect())  # 1 / CONTEXT at most
-    words, counts = np.array([w for w, _ in top], np.int64).view(np.uint64), np.array([c for _, c in top], np.int64)
-    index = context.broadcast((HashIndex(words), len(words) + 1))
-    least = max(2.0, total * ARC)
-    table = lambda df: tuple(np.array(x, np.int64) for x in zip(*sorted((r.key, r.n) for r in df.where(F.col("n") >= least).collect()))) or (np.zeros(0, np.int64),) * 2  # noqa: E731  1 / ARC at most
-    pairs, pair_counts = table(counted(chunks, index, 2))
-    contexts = pairs[pair_counts >= max(2.0, total * CONTEXT)]
-    triples, triple_counts = table(counted(chunks, index, 3, context.broadcast(HashIndex(contexts.astype(np.uint64)))))
-    model = context.broadcast(Automaton(words, counts, total, size.v, size.ones, size.twos, pairs, pair_counts, contexts, triples, triple_counts))
-    floor = total + ADD * (size.v + 1)
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [frequent_numbers(np.frombuffer(w, np.uint64), model.value.words).astype(np.int32).tobytes() for w in batch.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(words, pa.binary())], names=batch.schema.names)
+    total, many = chunks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.count("*")).first()
+    bits = int(np.ceil(np.log2(max(2, many))))  # a shard is about as large as a chunk
+    longer = keep(totals(sent(chunks, (2, 3), bits), bits), "counts")
+    followers = longer.where("order = 0").select("order", "shard", "chunk", F.col("n").alias("key"), F.lit(b"").alias("other"), F.col("t").alias("n"))
+    single = keep(totals(sent(chunks, (1,), bits).unionByName(followers), bits), "word-counts")
+    answers = single.unionByName(longer.where("order > 0"))
+    sums = {r["order"]: r for r in answers.groupBy("order").agg(*(F.sum(x).alias(x) for x in ("seen", "ones", "twos"))).collect()}
+    off = [discount(sums[k].ones, sums[k].twos) if k in sums else 0.5 for k in (1, 2, 3)]
+    vocabulary = sums[1].seen if 1 in sums else 0
+    unknown = off[0] * vocabulary / total if total else 1.0
+    floor = total + ADD * (vocabulary + 1)
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = model.value
         chunk = {c: left.column(c)[0].as_py() for c in ("counts", "tokens", "words", "train")}
-        known = np.zeros(right.num_rows, np.int64)
-        known[right.column("local").to_numpy()] = right.column("c").to_numpy()
-        tokens, counts = np.frombuffer(chunk["tokens"], np.uint32), np.array(chunk["counts"])
-        starts = np.cumsum(counts) - counts
-        first = np.zeros(len(tokens), bool)
-        first[starts] = True
-        root, base = m.root(known), np.log10((known + ADD) / floor)
-        log = m.read(np.frombuffer(chunk["words"], np.int32)[tokens].astype(np.int64), root[tokens], first)
-        n = len(counts)
+        counts = np.array(chunk["counts"])
+        rows = sorted(zip(*(right.column(c).to_pylist() for c in ("order", "shard", "n", "t"))), key=lambda r: r[:2])
+        (c, after), (n2, _), (n3, after2) = ([np.frombuffer(b"".join(r[i] for r in rows if r[0] == k), np.int64) for i in (2, 3)] for k in (1, 2, 3))
+        _, (_, at2, at3), (word, pair, triple) = grams(np.frombuffer(chunk["words"], np.uint64), np.frombuffer(chunk["tokens"], np.uint32), counts)
+        p = np.where(c > 0, (c - off[0]) / max(total, 1), unknown)[word]
+        number = np.zeros(len(word), np.int64)
+        number[at2] = pair
+        p[at2] = continued(p[at2], n2[pair], c[word[at2 - 1]], after[word[at2 - 1]], off[1])
+        p[at3] = continued(p[at3], n3[triple], n2[number[at3 - 1]], after2[triple], off[2])
+        known, starts, n = c[word], np.cumsum(counts) - counts, len(counts)
         return pa.table({
-            "doc_id": pa.chunked_array([x.values for x in left.column("ids")]), "train": pa.array(chunk["train"], pa.bool_()), "n_tokens": pa.array(counts, pa.int64()), "n_known": pa.array(np.add.reduceat(known[tokens] > 0, starts, dtype=np.int64)),
-            "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(np.add.reduceat(base[tokens], starts)), "score": pa.array(np.add.reduceat(log, starts) / np.log(10)),
+            "doc_id": pa.chunked_array([x.values for x in left.column("ids")]), "train": pa.array(chunk["train"], pa.bool_()), "n_tokens": pa.array(counts, pa.int64()), "n_known": pa.array(np.add.reduceat(known > 0, starts, dtype=np.int64)),
+            "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(np.add.reduceat(np.log10((known + ADD) / floor), starts)), "score": pa.array(np.add.reduceat(np.log10(p), starts)),
         })
 
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = chunks.select("chunk", "ids", "train", "counts", "tokens", "words")
-    left, right = texts.mapInArrow(tidy(numbered), texts.schema).groupBy("chunk"), looked.select("chunk", "local", "c").groupBy("chunk")
+    left, right = chunks.select("chunk", "ids", "train", "counts", "tokens", "words").groupBy("chunk"), answers.select("chunk", "order", "shard", "n", "t").groupBy("chunk")
     return left.cogroup(right).applyInArrow(read, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
