@@ -2,8 +2,8 @@
 
 One rule a line: label, priority, keyword, pattern. Texts are compared as words (runs of
 ASCII letters and digits in lower case and of other characters) with one space between them, and
-a space in a pattern stands between two words. The keyword is a part of a word
-that every match contains. Priority 3: full names and grants that name the version; 2:
+a space in a pattern stands between two words. The keyword is a word of every match, but for those
+of ``JOINED``. Priority 3: full names and grants that name the version; 2:
 names of a family and clauses of its text; 1: hints that something is licensed.
 """
 
@@ -265,6 +265,17 @@ licensed|1|spdx|spdx license identifier
 """
 
 
+#: By label and keyword: words one of which is in each match that has not the keyword as a word.
+JOINED = {
+    ("gpl-2.0", "gpl"): ("gpl2", "gplv2", "gplversion"),
+    ("gpl-3.0", "gpl"): ("gpl3", "gplv3", "gplversion"),
+    ("bsd-2-clause", "bsd"): ("freebsd",),
+    ("0bsd", "bsd"): ("zero",),
+    ("beerware", "beer"): ("beerware",),
+    ("openrail", "rail"): ("openrail",),
+}
+
+
 def rules() -> list[tuple[str, int, str, str]]:
     """(label, priority, keyword, pattern) in order."""
     out = []

@@ -2,8 +2,8 @@
 
 A text's words (runs of ASCII letters and digits and of non-ASCII characters, A-Z in lower case) are
 laid out with a space on either side of each, so that a rule's pattern can't match across part of a
-word. A text none of whose words is a rule's keyword is done; in the others each rule whose keyword
-is among the words is searched. Of the places found, one that lies within another
+word. A text none of whose words is a rule's keyword is done; in the others each rule one of whose
+keywords is among the words is searched. Of the places found, one that lies within another
 of at least its priority is suppressed (of equal places the first rule's stays). The base phrases'
 places are also reported as such, suppressed or not.
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .license_rules import BASE, rules
+from .license_rules import BASE, JOINED, rules
 
 #: What is no word once A-Z are letters of words too.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -57,8 +57,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     row; other columns are not read.
     """
     known = table()
-    rows = ", ".join(f"named_struct('label', {quoted(a)}, 'priority', {p}, 'keyword', {quoted(k)}, 'pattern', {quoted(q)}, 'base', {str(b).lower()}, 'rule', {i})" for i, (a, p, k, q, b) in enumerate(known))
-    keywords = ", ".join(quoted(k) for k in sorted({k for _, _, k, _, _ in known}))
+    rows = ", ".join(f"named_struct('label', {quoted(a)}, 'priority', {p}, 'keywords', array({', '.join(quoted(x) for x in (k, *JOINED.get((a, k), ())))}), 'pattern', {quoted(q)}, 'base', {str(b).lower()}, 'rule', {i})" for i, (a, p, k, q, b) in enumerate(known))
+    keywords = ", ".join(quoted(k) for k in sorted({x for a, _, k, _, _ in known for x in (k, *JOINED.get((a, k), ()))}))
     bare = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SEPARATORS, "  "))
     out = docs.select(F.col(id_col).alias("doc_id"), bare.alias("bare"))
     out = out.withColumn("n_words", F.expr("if(bare = '', 0, cast((length(bare) - length(replace(bare, '  ', ''))) / 2 + 1 as bigint))").cast("long"))
@@ -68,7 +68,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     matches, pieces = "regexp_extract_all(laid, r.pattern, 0)", "split(laid, r.pattern, -1)"
     counts = f"transform({matches}, (m, i) -> named_struct('before', {WORDS_IN.format('get(pieces, i)')}, 'own', {WORDS_IN.format('m')}))"
     sums = doubling("c", "named_struct('before', x.before + coalesce($y.before, 0), 'own', x.own + coalesce($y.own, 0))")
-    found = f"""if(hot, flatten(transform(filter(array({rows}), r -> array_contains(keys, r.keyword)), r ->
+    found = f"""if(hot, flatten(transform(filter(array({rows}), r -> arrays_overlap(keys, r.keywords)), r ->
         flatten(transform(array({pieces}), pieces -> flatten(transform(array({counts}), c -> flatten(transform(array({sums}), s -> transform(s, (x, i) -> named_struct(
             'start', x.before + x.own - c[i].own, 'back', -(x.before + x.own), 'down', -r.priority, 'rule', r.rule, 'label', r.label, 'base', r.base))))))))
     )), array())"""
@@ -101,7 +101,7 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def sql() -> str:
-    """The same in DuckDB SQL, place by place."""
+    """The same in DuckDB SQL, place by place; but a rule is searched only where its own keyword is a word, not one of ``JOINED``."""
     q = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({q(a)}, {p}, {q(k)}, {q(pat)}, {str(b).lower()}, {i})" for i, (a, p, k, pat, b) in enumerate(table()))
     words_in = "(length({0}) - length(replace({0}, ' ', ''))) // 2"

@@ -1,13 +1,17 @@
 """That operators leave nothing out: compared with brute force over everything."""
 
+import itertools
 import math
 import random
+import re
+import re._parser
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import language_model
+from tessera.llm import language_model, license_scan
+from tessera.llm.license_rules import rules
 
 
 def test_language_model_counts_ngrams_of_all_words(spark, monkeypatch):
@@ -39,3 +43,38 @@ def test_language_model_counts_ngrams_of_all_words(spark, monkeypatch):
         assert r.score == pytest.approx(sum(math.log10(p(tuple(s[max(0, i - 2) : i + 1]))) for i in range(len(s))))
     held_out = [r for r in rows if not r.train]
     assert sum(r.score for r in held_out) > 0.6 * sum(r.base_score for r in held_out)
+
+
+def spellings(tree):
+    """Every text of a rule's pattern (a class's characters by its first ones, a run by one x)."""
+    parts = []
+    for op, a in tree:
+        if str(op) == "LITERAL":
+            parts.append([chr(a)])
+        elif str(op) == "MAX_REPEAT":
+            parts.append((["", *spellings(a[2])] if a[0] == 0 else spellings(a[2])) if a[1] == 1 else ["x"])
+        elif str(op) == "SUBPATTERN":
+            parts.append(spellings(a[3]))
+        elif str(op) == "BRANCH":
+            parts.append([x for t in a[1] for x in spellings(t)])
+        else:
+            assert str(op) == "IN"
+            parts.append([chr(v) if str(k) == "LITERAL" else chr(v[0]) for k, v in a])
+    return ["".join(x) for x in itertools.product(*parts)]
+
+
+def test_license_keywords_are_words_of_every_spelling():
+    for label, _, keyword, pattern in rules():
+        some = {keyword, *license_scan.JOINED.get((label, keyword), ())}
+        assert all(some & set(x.split(" ")) for x in spellings(re._parser.parse(pattern))), pattern
+
+
+def test_license_scan_finds_joined_spellings(spark):
+    known = [(label, p, re.compile(pattern), base) for label, p, _, pattern, base in license_scan.table()]
+    texts = ["CreativeML OpenRAIL-M", "creativeml openrail m license", "BeerWare License", "GPL2", "under GPL3 license.", "GNU GPLv2 or later", "the FreeBSD license", "Zero-Clause License"]
+    rows = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        laid = " " + "  ".join(re.findall("[a-z0-9]+", text.lower())) + " "
+        found = [(laid[: m.start()].count(" ") // 2, laid[: m.end()].count(" ") // 2, label, p, n) for n, (label, p, pattern, _) in enumerate(known) for m in pattern.finditer(laid)]
+        inside = lambda a, b: b[0] <= a[0] and b[1] >= a[1] and b[3] >= a[3] and (b[:2] != a[:2] or b[3] > a[3] or b[4] < a[4])
+        assert found and sorted(tuple(x) for x in rows[i].spans) == sorted(a[:4] for a in found if not any(inside(a, b) for b in found)), text
