@@ -22,10 +22,10 @@ from .common import blocks, keep, level, level_floors, small_batches, text_bytes
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 20
 #: At most so many labelled texts of each class are drawn (by a hash of the id) to fit the classifier.
-TRAIN_ROWS = 2500
+TRAIN_ROWS = 4000
 #: Features with the largest |r| * sqrt(document frequency) enter the regression.
-FEATURES = 6000
-SMOOTH, LEAST_DF, PENALTY, STEPS = 1.0, 3, 2e-4, 200
+FEATURES = 20_000
+SMOOTH, LEAST_DF, PENALTY, STEPS = 1.0, 3, 2e-4, 300
 #: Characters that are hashed at once.
 WINDOW = 1 << 19
 _LOWER: list[np.ndarray] = []

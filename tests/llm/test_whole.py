@@ -7,10 +7,11 @@ import re
 import re._parser
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import language_model, license_scan
+from tessera.llm import language_model, license_scan, toxicity
 from tessera.llm.license_rules import rules
 
 
@@ -78,3 +79,14 @@ def test_license_scan_finds_joined_spellings(spark):
         found = [(laid[: m.start()].count(" ") // 2, laid[: m.end()].count(" ") // 2, label, p, n) for n, (label, p, pattern, _) in enumerate(known) for m in pattern.finditer(laid)]
         inside = lambda a, b: b[0] <= a[0] and b[1] >= a[1] and b[3] >= a[3] and (b[:2] != a[:2] or b[3] > a[3] or b[4] < a[4])
         assert found and sorted(tuple(x) for x in rows[i].spans) == sorted(a[:4] for a in found if not any(inside(a, b) for b in found)), text
+
+
+def test_toxicity_fits_more_than_the_first_6000_ngrams(spark, monkeypatch):
+    g = np.random.default_rng(1)
+    words = ["".join(g.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)) for _ in range(1200)]
+    rows = [(i, " ".join(words[j] for j in g.integers(0, 600, 20) + 600 * (i % 2)), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    used, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows, buckets, *rest: used.append(len(np.unique(buckets))) or fit(rows, buckets, *rest))
+    toxicity.train_classifier(df, df, F.lit(True), "doc_id", "text", "toxic", "doc_id")
+    assert used[0] > 12_000
