@@ -14,22 +14,48 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; longer texts are cut into windows where an operator allows it.
 BLOCK_BYTES = 4 << 20
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+_LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured, as in tests."""
+    """The folder that driver and executors share. Where none is set, a temporary one, but only if all runs in this process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _LOCAL:
+            _LOCAL.append(f"file://{tempfile.mkdtemp(prefix='tessera-')}")
+        at = _LOCAL[0]
     return at.rstrip("/")
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and a lost executor can't lose it."""
-    at = f"{shared_dir(df.sparkSession)}/tessera/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    """Write ``df`` to the shared folder and read it back: cuts lineage, and a lost executor can't lose it.
+
+    The shuffles of the write are of no use after it; their files go at once (the setting for that is put back).
+    """
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}-{name}"
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(at, compression="zstd")
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._kept_at = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete kept tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_mod(id_col: str, n: int) -> Column:
@@ -61,26 +87,24 @@ def level_floors(totals: list[tuple], budget: float) -> dict:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string array and the n + 1 offsets of its rows; a null is an empty text."""
+    """The (UTF-8) bytes of a string or binary array and the n + 1 offsets of its rows; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     if column.null_count:
-        column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+        column = column.fill_null(pa.scalar("").cast(column.type))
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, where, data = column.buffers()
     offsets = np.frombuffer(where, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after bounding the rows of an Arrow batch where the session has the default: whole texts are large rows."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return df
+def small_batches(spark: SparkSession) -> None:
+    """For queries and pipelines, not operators: fewer rows in an Arrow batch than Spark's default, for small executors (Spark bounds its bytes anyway)."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def tidy(run):

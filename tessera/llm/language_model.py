@@ -1,14 +1,17 @@
 """Language-model scores by a weighted backoff automaton of word n-grams.
 
-Counts of all words, pairs and triples are taken over the whole training part; none is left out. A state
-is a context: none, one word, or two. Each has arcs for the words that follow it, and a failure arc
-to its next shorter context. Counts are absolutely discounted; what that frees, in proportion to the distinct words that
-follow, is the weight of the failure arc, and an arc's probability includes that share of the shorter context's, so the whole is
-a distribution. The state without context knows every word; a class for unknown words gets the mass that discounting frees there.
-
-The automaton is nowhere whole. Texts are held in chunks with a vocabulary of their own; a chunk sends its distinct n-grams
-to shards of the keys, packed as arrays, and gets their counts and their contexts' followers back in the same order. Pairs
-are spread by both words, triples by their first two. Words are compared by 64-bit hashes, pairs by hashes of these.
+States are contexts counted in the training part: none, one word, or two. A state has arcs for the words that
+followed it and a failure arc to its next shorter context. Counts are smoothed by a Dirichlet prior around the shorter context's
+distribution: of a context counted C times an arc taken c times weighs (c + m * p) / (C + m), p being what
+the shorter context gives the word, and the failure arc m / (C + m). So each state's arcs and
+what its failure arc leads to are a distribution. The state without context knows every word; a class
+for unknown words gets the mass that discounting frees there. m is set for each order so that, were each token left out in turn, as many would
+fail there as n-grams were seen just once. No word, pair or triple is left out.
+
+The automaton is nowhere whole. Texts are held in chunks with a vocabulary of their own. A chunk sends its distinct n-grams to
+shards of their hashes (40 bits within a shard of bounded size, delta-coded) and gets their counts back in the same order. With these it has all states and arcs that
+its texts can meet, and reads the texts from left to right, carrying the state and adding up logarithms. Each n-gram
+goes to a shard by its own hash, once a chunk, so no frequent word or pair makes one shard larger than others.
 """
 
 from __future__ import annotations
@@ -22,69 +25,106 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashIndex, blocks, keep, mixed, small_batches, text_bytes, tidy, word_hashes
+from .common import blocks, keep, mixed, text_bytes, tidy, word_hashes
 
 #: Text in a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
+#: Tokens of the texts whose n-grams a shard gets, on average (of a text's tokens there are as many n-grams of each order).
+SHARD_TOKENS = 1 << 19
+#: Tokens that are read one after another; further parts of a text start from the state that ends the one before.
+STRETCH = 256
 END = np.uint64(0x454E44)  # the end of a text; words' hashes are mixed and don't meet it but by chance
 ADD = 0.1
+#: Histograms of counts have a class for each of 1 to 4, then one for each power of two.
+CLASSES = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Runs of whole numbers (values[bounds[i] : bounds[i + 1]]) as binaries of seven bits a byte, the last byte below 128."""
+    values = values.astype(np.uint64, copy=False)
+    size, most = np.ones(len(values), np.int64), int(values.max(initial=0))
+    k = 7
+    while most >> k:
+        size += values >= np.uint64(1 << k)
+        k += 7
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out, first = np.zeros(int(ends[-1]), np.uint8), ends[:-1]
+    for k in range(int(size.max(initial=0))):
+        more = size > k
+        out[first[more] + k] = (values[more] >> np.uint64(7 * k)) & np.uint64(127) | (size[more] > k + 1).astype(np.uint64) << np.uint64(7)
+    return binaries(out, ends[bounds])
+
+
+def unpacked(raw: np.ndarray) -> np.ndarray:
+    ends = np.flatnonzero(raw < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)[: len(ends)]
+    size = ends - starts + 1
+    out = np.zeros(len(ends), np.uint64)
+    for k in range(int(size.max(initial=0))):
+        more = size > k
+        out[more] |= (raw[starts[more] + k].astype(np.uint64) & np.uint64(127)) << np.uint64(7 * k)
+    return out
+
+
+def binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+def pressed(x: np.ndarray) -> bytes:
+    """An array of uint32, byte by byte of each number, compressed."""
+    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def restored(x: bytes) -> np.ndarray:
+    n = int.from_bytes(x[:8], "little")
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(x[8:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T).view("<u4").ravel() if n else np.zeros(0, np.uint32)
+
+
 def chunked(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
-    """One row per chunk: its texts' ids, training flags and token counts, the tokens by local number, the words' hashes and training counts."""
+    """One row per chunk: its texts' ids, training flags and token counts, the tokens by local number, the words' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, part = 0, TaskContext.get().partitionId()
+        made, part, held, waiting = 0, TaskContext.get().partitionId(), [], 0
         for batch in batches:
-            raw, offsets = text_bytes(batch.column(1))
-            for a, b in blocks(offsets, CHUNK_BYTES):
-                hashed, lengths = [], []
-                for i, j in blocks(offsets[a : b + 1], CHUNK_BYTES >> 3):
-                    word, bounds = word_hashes(raw[offsets[a + i] : offsets[a + j]], offsets[a + i : a + j + 1] - offsets[a + i])
-                    hashed.append(np.insert(word, bounds[1:], END))
-                    lengths.append(np.diff(bounds) + 1)
-                word, count = np.concatenate(hashed), np.concatenate(lengths)
-                train = batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
-                hashes, local, times = np.unique(word, return_inverse=True, return_counts=True)
-                order = np.argsort(-times, kind="stable")  # small numbers for frequent words
-                rank = np.empty_like(order)
-                rank[order] = np.arange(len(order))
-                local = rank[local].astype(np.uint32)
-                trained = np.bincount(local[np.repeat(train, count)], minlength=len(hashes)).astype(np.uint32)
-                one = [pa.array([part * (1 << 32) + made]), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(0).slice(a, b - a)), pa.array([train.tolist()]), pa.array([count.tolist()], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(one + [pa.array([x.tobytes()], pa.binary()) for x in (local, hashes[order], trained)] + [pa.array([int(trained.sum(dtype=np.int64))])], names=names)
-                made += 1
-
-    names = ["chunk", "ids", "train", "counts", "tokens", "words", "trained", "train_tokens"]
-    kinds = [T.LongType(), T.ArrayType(docs.schema[id_col].dataType), T.ArrayType(T.BooleanType()), T.ArrayType(T.LongType()), T.BinaryType(), T.BinaryType(), T.BinaryType(), T.LongType()]
-    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col), F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(tidy(run), T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
-
-
-def grams(words: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray], list[np.ndarray]]:
-    """Of a chunk's words, pairs and triples: (key, other) of the distinct ones, where each stands in the chunk, which it is there.
-
-    Keys ascend: a word's hash; the hash of a pair; the hash of a triple's first two. other: the first word of a pair, the last of a triple.
-    """
-    tokens, first = tokens.astype(np.int64), np.zeros(len(tokens), bool)
-    first[np.cumsum(counts) - counts] = True
-    order = np.argsort(words)
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
-    words, tokens = words[order], rank[tokens]
-    at2 = np.flatnonzero(~first)
-    pair, pair_at = np.unique(tokens[at2 - 1] << 32 | tokens[at2], return_inverse=True)
-    key = joined(words[pair >> 32], words[pair & 0xFFFFFFFF])
-    by_key = np.argsort(key)
-    moved = np.empty_like(by_key)
-    moved[by_key] = np.arange(len(by_key))
-    key, pair, pair_at = key[by_key], pair[by_key], moved[pair_at]
-    number = np.full(len(tokens), -1)
-    number[at2] = pair_at
-    at3 = at2[~first[at2 - 1]]
-    triple, triple_at = np.unique(number[at3 - 1] << 32 | tokens[at3], return_inverse=True)
-    found = [(words, words), (key, words[pair >> 32]), (key[triple >> 32], words[triple & 0xFFFFFFFF])]
-    return found, [np.arange(len(tokens)), at2, at3], [tokens, pair_at, triple_at]
+            sizes = np.diff(text_bytes(batch.column(1))[1])
+            start = 0
+            for i, n in enumerate(sizes.tolist()):  # chunks go on over batches
+                if waiting and waiting + n > CHUNK_BYTES:
+                    held.append(batch.slice(start, i - start))
+                    yield chunk(part * (1 << 32) + made, held)
+                    made, held, waiting, start = made + 1, [], 0, i
+                waiting += n
+            held.append(batch.slice(start))
+        if sum(b.num_rows for b in held):
+            yield chunk(part * (1 << 32) + made, held)
+
+    def chunk(number: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        raw, offsets = text_bytes(table.column(1))
+        hashed, lengths = [], []
+        for i, j in blocks(offsets, CHUNK_BYTES >> 3):
+            word, bounds = word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            hashed.append(np.insert(word, bounds[1:], END))
+            lengths.append(np.diff(bounds) + 1)
+        word, count = np.concatenate(hashed), np.concatenate(lengths)
+        train = table.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        hashes, local, times = np.unique(word, return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")  # small numbers for frequent words
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        ids = table.column(0).combine_chunks()
+        whole = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, kind))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number]), whole(ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, None), whole(train, pa.bool_()), whole(count, pa.int64())]
+            + [pa.array([x], pa.binary()) for x in (pressed(rank[local]), hashes[order].tobytes())]
+            + [pa.array([int(count.sum())]), pa.array([int(count[train].sum())])],
+            names=names,
+        )
+
+    names = ["chunk", "ids", "train", "counts", "tokens", "words", "all_tokens", "train_tokens"]
+    kinds = [T.LongType(), T.ArrayType(docs.schema[id_col].dataType), T.ArrayType(T.BooleanType()), T.ArrayType(T.LongType()), T.BinaryType(), T.BinaryType(), T.LongType(), T.LongType()]
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(tidy(run), T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -92,161 +132,174 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * _ODD + b)
 
 
-def sent(chunks: DataFrame, orders: tuple[int, ...], bits: int) -> DataFrame:
-    """The distinct n-grams of each chunk and their training counts, cut by the first ``bits`` of their keys into shards."""
+class Grams:
+    """A chunk's distinct words, pairs and triples, each by ascending hash.
+
+    keys[k]: the hashes; at[k]: the tokens that end one; which[k]: the n-gram of each of these; short[k], long[k]: the pair's (triple's) number without its last
+    and without its first word, by the next smaller order.
+    """
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, counts: np.ndarray):
+        self.first = np.zeros(len(tokens), bool)
+        self.first[np.cumsum(counts) - counts] = True
+        order = np.argsort(words)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words, tokens = words[order], rank[tokens.astype(np.int64)]
+        at2 = np.flatnonzero(~self.first)
+        at3 = at2[~self.first[at2 - 1]]
+        key2, pair, short2, long2 = self.longer(words, words, tokens[at2 - 1], tokens[at2])
+        number = np.full(len(tokens), -1)
+        number[at2] = pair
+        # a triple is its first two words and its last; its last two are told by any place where it stands
+        key3, triple, short3, _ = self.longer(key2, words, number[at3 - 1], tokens[at3])
+        long3 = np.zeros(len(key3), np.int64)
+        long3[triple] = number[at3]
+        self.keys, self.at, self.which = [words, key2, key3], [np.arange(len(tokens)), at2, at3], [tokens, pair, triple]
+        self.short, self.long = [None, short2, short3], [None, long2, long3]
+
+    @staticmethod
+    def longer(context_keys: np.ndarray, words: np.ndarray, context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        both, at = np.unique(context << 32 | last, return_inverse=True)
+        context, last = both >> 32, both & 0xFFFFFFFF
+        key = joined(context_keys[context], words[last])
+        order = np.argsort(key)
+        moved = np.empty(len(order), np.int64)
+        moved[order] = np.arange(len(order))
+        return key[order], moved[at], context[order], last[order]
+
+
+def sent(chunks: DataFrame, bits: int) -> DataFrame:
+    """The distinct n-grams of each chunk and their training counts: a row for each chunk and shard, the first ``bits`` of the hash.
+
+    lowK, highK: of the next 40 bits the low three bytes, and what is above them as differences; nK: the counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, words, tokens, train, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                found, at, which = grams(np.frombuffer(words, np.uint64), np.frombuffer(tokens, np.uint32), np.array(counts))
-                train = np.repeat(np.array(train, bool), counts)
-                for order in orders:
-                    key, other = found[order - 1]
-                    n = np.bincount(which[order - 1][train[at[order - 1]]], minlength=len(key)).astype(np.uint32)
-                    shard, start = np.unique(key >> np.uint64(64 - bits), return_index=True)
-                    for first in range(0, len(shard), 256):
-                        cut = [slice(i, j) for i, j in zip(start, [*start[1:], len(key)])][first : first + 256]
-                        some = [pa.array(np.full(len(cut), order, np.int32)), pa.array(shard[first : first + 256].astype(np.int64)), pa.array(np.full(len(cut), chunk))]
-                        yield pa.RecordBatch.from_arrays(some + [pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (key, other if order > 1 else other[:0], n)], names=names)
-
-    names = ["order", "shard", "chunk", "key", "other", "n"]
-    return chunks.select("chunk", "words", "tokens", "train", "counts").mapInArrow(tidy(run), "order int, shard long, chunk long, key binary, other binary, n binary")
-
-
-def totals(rows: DataFrame, bits: int) -> DataFrame:
-    """For each n-gram sent its count in all chunks (n) and the words that follow its context (t, of a word: follow it), in the order sent.
-
-    seen, ones, twos: how many n-grams were counted at all, once and twice (in one row of a shard). Rows of order 0 hold
-    words and how many follow them: pairs yield them for the shards of words.
+                counts = np.array(counts, np.int64)
+                grams = Grams(np.frombuffer(words, np.uint64), restored(tokens), counts)
+                trained = np.repeat(np.array(train, bool), counts)
+                shards = [key >> np.uint64(64 - bits) for key in grams.keys]
+                here = np.unique(np.concatenate([x[np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))] for x in shards if len(x)]))
+                columns = []
+                for key, shard, at, which in zip(grams.keys, shards, grams.at, grams.which):
+                    bounds = np.append(np.searchsorted(shard, here), len(key))
+                    left = key << np.uint64(bits) >> np.uint64(24)
+                    high = left >> np.uint64(24)
+                    step = np.diff(high, prepend=np.uint64(0))
+                    starts = bounds[:-1][np.diff(bounds) > 0]
+                    step[starts] = high[starts]
+                    low = left.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3]
+                    n = np.bincount(which[trained[at]], minlength=len(key))
+                    columns += [binaries(low, 3 * bounds), packed(step, bounds), packed(n, bounds)]
+                yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int64)), pa.array(np.full(len(here), chunk)), *columns], names=names)
+
+    names = ["shard", "chunk", *(f"{x}{k}" for k in (1, 2, 3) for x in ("low", "high", "n"))]
+    return chunks.select("chunk", "words", "tokens", "train", "counts").mapInArrow(tidy(run), "shard long, chunk long, " + ", ".join(f"{x} binary" for x in names[2:]))
+
+
+def class_of(n: np.ndarray) -> np.ndarray:
+    """The class of a count: 0 to 3 for 1 to 4, then by powers of two."""
+    return np.where(n <= 4, n - 1, 2 + np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """For each n-gram sent its count in all chunks (n1, n2, n3 of a chunk and shard, in the order sent).
+
+    tallies, in one row of a shard: for each order by class of the count how many n-grams have it, then the sum of their counts.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        order, shard = table.column("order").to_numpy(), table.column("shard")[0].as_py()
-        whole = int(order.max())
-        read = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-        keys = read("key", np.uint64)
-        length = np.array([len(k) for k in keys])
-        key, n = np.concatenate(keys), np.concatenate(read("n", np.uint32)).astype(np.int64)
-        del keys
-        other = np.concatenate(read("other", np.uint64)) if whole > 1 else None
-        asked = np.repeat(order > 0, length)
-        same, first, at = np.unique(joined(key, other) if whole == 3 else key, return_index=True, return_inverse=True)
-        count = np.bincount(at[asked], n[asked], len(same)).astype(np.int64)
-        out, follow = [], np.zeros(len(key), np.int64)
-        if whole == 1:
-            follow = np.bincount(at[~asked], n[~asked], len(same)).astype(np.int64)[at]
-        elif whole == 2:
-            word, times = np.unique(other[first[count > 0]], return_counts=True)
-            to, start = np.unique(word >> np.uint64(64 - bits), return_index=True)
-            out = [(0, int(s), None, word[i:j].tobytes(), times[i:j].astype(np.uint32).tobytes(), 0, 0, 0) for s, i, j in zip(to, start, [*start[1:], len(word)])]
-        else:
-            context, of = np.unique(key, return_inverse=True)
-            follow = np.bincount(of[first[count > 0]], minlength=len(context))[of]
-        seen = [int((count > 0).sum()), int((count == 1).sum()), int((count == 2).sum())]
-        back, end = count[at], np.cumsum(length)
-        for k, chunk, i, j in zip(order.tolist(), table.column("chunk").to_pylist(), end - length, end):
-            if k:
-                out.append((k, shard, chunk, back[i:j].tobytes(), follow[i:j].tobytes() if k != 2 else b"", *seen))
-                seen = [0, 0, 0]
-        return pa.table([pa.array(list(x), f.type) for x, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
-
-    schema = pa.schema([("order", pa.int32()), ("shard", pa.int64()), ("chunk", pa.int64()), ("n", pa.binary()), ("t", pa.binary()), ("seen", pa.int64()), ("ones", pa.int64()), ("twos", pa.int64())])
-    return rows.withColumn("kind", F.greatest("order", F.lit(1))).groupBy("kind", "shard").applyInArrow(run, "order int, shard long, chunk long, n binary, t binary, seen long, ones long, twos long")
+        table = table.sort_by("chunk").combine_chunks()
+        m, out, tallies = table.num_rows, [], np.zeros((3, 2, CLASSES), np.int64)
+        for k in (1, 2, 3):
+            low, at = text_bytes(table.column(f"low{k}"))
+            bounds = at // 3
+            key = np.zeros((len(low) // 3, 4), np.uint8)
+            key[:, :3] = low.reshape(-1, 3)
+            step = unpacked(text_bytes(table.column(f"high{k}"))[0]).astype(np.int64)
+            run_ = np.concatenate([[0], np.cumsum(step)])
+            high = run_[1:] - np.repeat(run_[bounds[:-1]], np.diff(bounds))
+            n = unpacked(text_bytes(table.column(f"n{k}"))[0]).astype(np.int64)
+            _, which = np.unique(high << 24 | key.view("<u4").ravel().astype(np.int64), return_inverse=True)
+            count = np.bincount(which, n).astype(np.int64)
+            seen = count[count > 0]
+            tallies[k - 1] = np.bincount(class_of(seen), minlength=CLASSES), np.bincount(class_of(seen), seen, CLASSES)
+            out.append(packed(count[which], bounds))
+        notes = pa.array([tallies.ravel().tolist(), *[None] * (m - 1)], pa.list_(pa.int64()))
+        return pa.table([table.column("chunk"), table.column("shard"), *out, notes], names=["chunk", "shard", "n1", "n2", "n3", "tallies"])
+
+    return rows.groupBy("shard").applyInArrow(lambda table: run(table), "chunk long, shard long, n1 binary, n2 binary, n3 binary, tallies array<long>")
+
+
+def discount(ones: int, twos: int) -> float:
+    return float(np.clip(ones / max(1, ones + 2 * twos), 0.1, 0.9))
+
+
+def strength(contexts: np.ndarray, ones: int) -> float:
+    """The weight m of a shorter context's distribution: left out one at a time, as many tokens fail as n-grams were seen once.
+
+    contexts: by class of the count how many contexts have it, and the sum of their counts. A token's context counts one less without it.
+    """
+    some = contexts[0] > 0
+    times, many = contexts[1][some].astype(float), (contexts[1][some] / contexts[0][some]) - 1
+    low, high = -7.0, 14.0  # natural logarithms
+    for _ in range(60):
+        m = np.exp((low + high) / 2)
+        low, high = (low, (low + high) / 2) if (times * m / (many + m)).sum() > ones else ((low + high) / 2, high)
+    return float(np.exp((low + high) / 2))
 
 
 class Automaton:
-    """A backoff automaton of given arcs in memory (``score`` doesn't use it). States 0 (no context), 1..size (a word), then pairs; arcs by state * (size + 1) + word. Natural logarithms."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, vocabulary: int, ones: int, twos: int, pairs: np.ndarray, pair_counts: np.ndarray, contexts: np.ndarray, triples: np.ndarray, triple_counts: np.ndarray):
-        self.size, self.base, self.total = len(words), len(words) + 1, total
-        self.discount = float(np.clip(ones / max(1, ones + 2 * twos), 0.1, 0.9))
-        self.unknown = self.discount * vocabulary / total if total else 1.0
-        self.words = HashIndex(words)
-        base, d = self.base, self.discount
-        one = np.zeros(base)
-        one[1:] = (counts - d) / max(total, 1)
-        self.states = HashIndex(contexts.astype(np.uint64))
-        n = base + len(contexts)
-        self.fail = np.zeros(n, np.int64)
-        self.fail[base:] = contexts % base
-        # arcs from words
-        many = np.zeros(base)
-        many[1:] = counts
-        a, b = pairs // base, pairs % base
-        p2 = (pair_counts - d) / many[a]
-        left = lambda p, state, size: 1 - np.bincount(state, p, size)
-        self.weight = np.ones(n)
-        self.weight[:base] = np.clip(left(p2, a, base), 1e-12, None) / np.clip(left(one[b], a, base), 1e-12, None)
-        self.weight[0] = 1
-        # arcs from pairs
-        c_at = np.searchsorted(pairs, contexts)
-        state3 = self.states.find((triples // base).astype(np.uint64)).astype(np.int64)
-        p3 = (triple_counts - d) / (pair_counts[c_at][state3] if len(contexts) else np.ones(0))
-        w3 = triples % base
-        mid = triples // base % base
-        found = np.minimum(np.searchsorted(pairs, mid * base + w3), max(0, len(pairs) - 1))
-        lower = np.where(pairs[found] == mid * base + w3, p2[found], self.weight[mid] * one[w3]) if len(pairs) else np.zeros(0)
-        self.weight[base:] = np.clip(left(p3, state3, len(contexts)), 1e-12, None) / np.clip(left(lower, state3, len(contexts)), 1e-12, None)
-        self.arcs = HashIndex(np.concatenate([a * base + b, (state3 + base) * base + w3]).astype(np.uint64))
-        self.arc_log = np.log(np.concatenate([p2, p3]))
-        self.weight = np.log(self.weight)
-        self.whole = self.weight + np.where(self.fail > 0, self.weight[self.fail], 0)  # of falling to state 0
-        self.whole[0] = 0
-
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        """Log probabilities without context of words of these training counts."""
-        return np.log(np.where(counts > 0, (counts - self.discount) / max(self.total, 1), self.unknown))
-
-    def next(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The longest context that ends in this frequent word."""
-        last = np.where(state >= self.base, self.fail[state], state)
-        pair = self.states.find((last * self.base + word).astype(np.uint64)).astype(np.int64)
-        return np.where(pair >= 0, pair + self.base, word)
-
-    def read(self, words: np.ndarray, root: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Log probability of each token. words: numbers of the frequent ones, else 0; root: theirs without context; first: starts of texts."""
-        n = len(words)
-        state = np.zeros(n + 1, np.int64)
-        out = root.copy()
-        begins = (words > 0) & np.concatenate([[True], words[:-1] == 0])
-        begins |= (words > 0) & first
-        start = np.flatnonzero(begins)
-        stop = np.flatnonzero(np.concatenate([(words[1:] == 0) | first[1:], [True]]) & (words > 0)) + 1
-        length = stop - start
+    """The states and arcs that a chunk's texts can meet, from its n-grams and their counts. Logarithms to base 10."""
+
+    def __init__(self, grams: Grams, counts: list[np.ndarray], total: int, unknown: float, off: float, m: tuple[float, float]):
+        one, two, three = counts
+        self.grams, self.known = grams, [n > 0 for n in counts]
+        p1 = np.where(one > 0, (one - off) / max(total, 1), unknown)
+        fail1, fail2 = m[0] / (one + m[0]), m[1] / (two + m[1])
+        short, long = grams.short[1], grams.long[1]
+        p2 = np.where(one[short] > 0, (two + m[0] * p1[long]) / (one[short] + m[0]), p1[long])
+        short, long = grams.short[2], grams.long[2]
+        p3 = (three + m[1] * p2[long]) / (two[short] + m[1])
+        self.arcs = [np.log10(p) for p in (p1, p2, p3)]
+        self.failures = [np.log10(fail1), np.log10(fail2)]
+
+    def read(self) -> np.ndarray:
+        """The log probability of each token, from left to right; the state is the length of the context, the context ends before the token."""
+        g, n = self.grams, len(self.grams.first)
+        number = [g.which[0], np.full(n, -1), np.full(n, -1)]
+        number[1][g.at[1]], number[2][g.at[2]] = g.which[1], g.which[2]
+        known = [k[x] & (x >= 0) if len(k) else np.zeros(n, bool) for k, x in zip(self.known, number)]
+        start = np.flatnonzero(g.first)
+        length = np.diff(np.append(start, n))
+        cut = -(-length // STRETCH)
+        inside = np.arange(int(cut.sum())) - np.repeat(np.cumsum(cut) - cut, cut)
+        start = np.repeat(start, cut) + STRETCH * inside
+        length = np.minimum(np.repeat(length, cut) - STRETCH * inside, STRETCH)
         order = np.argsort(-length, kind="stable")
         start, length = start[order], length[order]
-        inner = np.concatenate([~first[1:], [False]])  # the next token is of the same text
+        # a text starts without context, a further stretch from the longest context that ends before it
+        state = np.where(g.first[start], 0, np.where(known[1][start - 1], 2, np.where(known[0][start - 1], 1, 0)))
+        out = np.zeros(n)
         for step in range(int(length.max(initial=0))):
             at = start[: np.searchsorted(-length, -step)] + step
-            s, w = state[at], words[at]
-            log, open_, now = np.zeros(len(at)), np.arange(len(at)), s.copy()
-            while len(open_):
-                arc = self.arcs.find((now * self.base + w[open_]).astype(np.uint64))
-                hit = arc >= 0
-                log[open_[hit]] += self.arc_log[arc[hit]]
-                bottom = ~hit & (now == 0)
-                log[open_[bottom]] += root[at[open_[bottom]]]
-                more = ~hit & (now > 0)
-                open_, now = open_[more], now[more]
-                log[open_] += self.weight[now]
-                now = self.fail[now]
+            now, log = state[: len(at)].copy(), np.zeros(len(at))
+            for k in (2, 1):  # fail where the state has no arc for the token
+                fails = (now == k) & ~known[k][at]
+                log[fails] += self.failures[k - 1][number[k - 1][at[fails] - 1]]
+                now[fails] = k - 1
+            for k in (0, 1, 2):
+                takes = now == k
+                log[takes] += self.arcs[k][number[k][at[takes]]]
             out[at] = log
-            state[at + 1] = np.where(inner[at], self.next(s, w), 0)
-        rare = words == 0
-        out[rare] += self.whole[state[:-1][rare]]
+            # the arc leads to the longest context that ends in the token
+            state[: len(at)] = np.where(known[1][at] & (now > 0), 2, np.where(known[0][at], 1, 0))
         return out
 
 
-def discount(ones: int, twos: int) -> float:
-    return float(np.clip(ones / max(1, ones + 2 * twos), 0.1, 0.9))
-
-
-def continued(lower: np.ndarray, n: np.ndarray, context: np.ndarray, followers: np.ndarray, off: float) -> np.ndarray:
-    """Probabilities one word of context further: of an arc taken n times from a state of this count, or of failing to the next shorter context; a context not counted is no state."""
-    many = np.maximum(context, 1)
-    return np.where(context > 0, (np.maximum(n - off, 0) + off * followers * lower) / many, lower)
-
-
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, train, n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -255,35 +308,30 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     null ids each get a row (and each repeat counts if it trains); other columns are not read.
     """
     chunks = keep(chunked(docs, id_col, text_col, train), "chunks")
-    total, many = chunks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.count("*")).first()
-    bits = int(np.ceil(np.log2(max(2, many))))  # a shard is about as large as a chunk
-    longer = keep(totals(sent(chunks, (2, 3), bits), bits), "counts")
-    followers = longer.where("order = 0").select("order", "shard", "chunk", F.col("n").alias("key"), F.lit(b"").alias("other"), F.col("t").alias("n"))
-    single = keep(totals(sent(chunks, (1,), bits).unionByName(followers), bits), "word-counts")
-    answers = single.unionByName(longer.where("order > 0"))
-    sums = {r["order"]: r for r in answers.groupBy("order").agg(*(F.sum(x).alias(x) for x in ("seen", "ones", "twos"))).collect()}
-    off = [discount(sums[k].ones, sums[k].twos) if k in sums else 0.5 for k in (1, 2, 3)]
-    vocabulary = sums[1].seen if 1 in sums else 0
-    unknown = off[0] * vocabulary / total if total else 1.0
+    total, tokens = chunks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("all_tokens"), F.lit(0))).first()
+    bits = int(np.ceil(np.log2(max(2, tokens / SHARD_TOKENS))))
+    answers = keep(totals(sent(chunks, bits)), "counts")
+    tallies = np.zeros((3, 2, CLASSES), np.int64)
+    for place, x in answers.select(F.posexplode("tallies")).groupBy("pos").agg(F.sum("col")).collect():  # one row for each class
+        tallies.ravel()[place] = x
+    off = discount(*tallies[0, 0, :2])
+    m = tuple(strength(tallies[k], int(tallies[k + 1, 0, 0])) for k in (0, 1))
+    vocabulary = int(tallies[0, 0].sum())
+    unknown = off * vocabulary / total if total else 1.0
     floor = total + ADD * (vocabulary + 1)
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = {c: left.column(c)[0].as_py() for c in ("counts", "tokens", "words", "train")}
-        counts = np.array(chunk["counts"])
-        rows = sorted(zip(*(right.column(c).to_pylist() for c in ("order", "shard", "n", "t"))), key=lambda r: r[:2])
-        (c, after), (n2, _), (n3, after2) = ([np.frombuffer(b"".join(r[i] for r in rows if r[0] == k), np.int64) for i in (2, 3)] for k in (1, 2, 3))
-        _, (_, at2, at3), (word, pair, triple) = grams(np.frombuffer(chunk["words"], np.uint64), np.frombuffer(chunk["tokens"], np.uint32), counts)
-        p = np.where(c > 0, (c - off[0]) / max(total, 1), unknown)[word]
-        number = np.zeros(len(word), np.int64)
-        number[at2] = pair
-        p[at2] = continued(p[at2], n2[pair], c[word[at2 - 1]], after[word[at2 - 1]], off[1])
-        p[at3] = continued(p[at3], n3[triple], n2[number[at3 - 1]], after2[triple], off[2])
-        known, starts, n = c[word], np.cumsum(counts) - counts, len(counts)
+        counts, right = np.array(chunk["counts"], np.int64), right.sort_by("shard").combine_chunks()
+        n = [unpacked(text_bytes(right.column(f"n{k}"))[0]).astype(np.int64) for k in (1, 2, 3)]
+        grams = Grams(np.frombuffer(chunk["words"], np.uint64), restored(chunk["tokens"]), counts)
+        p = Automaton(grams, n, total, unknown, off, m).read()
+        known, starts, many = n[0][grams.which[0]], np.cumsum(counts) - counts, len(counts)
         return pa.table({
             "doc_id": pa.chunked_array([x.values for x in left.column("ids")]), "train": pa.array(chunk["train"], pa.bool_()), "n_tokens": pa.array(counts, pa.int64()), "n_known": pa.array(np.add.reduceat(known > 0, starts, dtype=np.int64)),
-            "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(np.add.reduceat(np.log10((known + ADD) / floor), starts)), "score": pa.array(np.add.reduceat(np.log10(p), starts)),
+            "train_tokens": pa.array(np.full(many, total, np.int64)), "base_score": pa.array(np.add.reduceat(np.log10((known + ADD) / floor), starts)), "score": pa.array(np.add.reduceat(p, starts)),
         })
 
     kind = docs.schema[id_col].dataType.simpleString()
-    left, right = chunks.select("chunk", "ids", "train", "counts", "tokens", "words").groupBy("chunk"), answers.select("chunk", "order", "shard", "n", "t").groupBy("chunk")
+    left, right = chunks.select("chunk", "ids", "train", "counts", "tokens", "words").groupBy("chunk"), answers.select("chunk", "shard", "n1", "n2", "n3").groupBy("chunk")
     return left.cogroup(right).applyInArrow(read, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

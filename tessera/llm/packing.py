@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-from .common import keep, small_batches, tidy
+from .common import keep, tidy
 
 SEQUENCE, END = 2048, 1
 #: Words whose ids a task remembers; then it starts anew.
@@ -129,7 +129,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(tokens), pa.array(ids, pa.binary())], names=["doc_id", "part", "place", "doc_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(tidy(encode), f"doc_id {kind}, part int, place long, doc_tokens long, ids binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(tidy(encode), f"doc_id {kind}, part int, place long, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, digest: bool = False) -> DataFrame:

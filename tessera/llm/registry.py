@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, html_text, language_id, language_model, license_scan, mixing, near_dedup, packing, toxicity, vector_search
-from .common import crc_mod, read
+from .common import crc_mod, read, small_batches
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), digest=True)
 
 
+def whole(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_near_dedup, op4_html_text, op5_mixing, op6_vector_search, op7_language_model, op8_audio, op9_toxicity, op10_packing)}
+    return {f.__name__: whole(f) for f in (op1_language_id, op2_license_scan, op3_near_dedup, op4_html_text, op5_mixing, op6_vector_search, op7_language_model, op8_audio, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -194,26 +194,6 @@ def test_language_model(docs, empty):
     assert language_model.score(empty, train).count() == 0
 
 
-def test_automaton_is_a_distribution():
-    words, counts = np.array([7, 9, 11], np.uint64), np.array([50, 30, 20])
-    base = 4
-    pairs, pair_counts = np.array([1 * base + 2, 2 * base + 1, 2 * base + 3]), np.array([20, 12, 9])
-    contexts, triples, triple_counts = np.array([1 * base + 2]), np.array([(1 * base + 2) * base + 1]), np.array([8])
-    m = language_model.Automaton(words, counts, 110, 8, 3, 1, pairs, pair_counts, contexts, triples, triple_counts)
-    # after each context: three frequent words, five rare ones of two occurrences each, the unknown class
-    known = np.array([50, 30, 20, 2, 2, 2, 2, 2, 0])
-    numbers, root = np.array([1, 2, 3, 0, 0, 0, 0, 0, 0]), m.root(known)
-    for context in ([], [1], [2], [1, 2]):
-        total = 0.0
-        for w, r in zip(numbers, root):
-            seq = np.array([*context, w])
-            roots = np.array([*(root[c - 1] for c in context), r])
-            first = np.zeros(len(seq), bool)
-            first[0] = True
-            total += math.exp(m.read(seq, roots, first)[-1])
-        assert total == pytest.approx(1, abs=1e-9)
-
-
 def test_audio(spark):
     g = np.random.default_rng(3)
     df = spark.createDataFrame([(i, g.normal(size=64).tolist()) for i in range(60)] + [(100, None), (None, [1.0] * 64), (120, [])], "vec_id long, embedding array<double>")

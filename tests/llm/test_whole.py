@@ -15,37 +15,63 @@ from tessera.llm import language_model, license_scan, toxicity
 from tessera.llm.license_rules import rules
 
 
-def test_language_model_counts_ngrams_of_all_words(spark, monkeypatch):
-    """Thousands of rare words (none has 1/10,000 of the tokens) that come in fixed pairs and triples, in many chunks."""
+def test_language_model_is_a_backoff_automaton_over_ngrams_of_all_words(spark, monkeypatch):
+    """Rare words that come in fixed triples, in many chunks and shards, against an automaton of dictionaries read token by token."""
     monkeypatch.setattr(language_model, "CHUNK_BYTES", 1 << 15)
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 1 << 13)
+    monkeypatch.setattr(language_model, "STRETCH", 7)
     g = random.Random(7)
     phrases = [[f"w{g.randrange(20_000)}" for _ in range(3)] for _ in range(6000)]
-    texts = [[w for _ in range(30) for w in g.choice(phrases)] for _ in range(900)] + [[], ["w1"]]
+    texts = [[w for _ in range(30) for w in g.choice(phrases)] for _ in range(900)] + [[], ["w1"], [w for _ in range(3000) for w in g.choice(phrases)]]
     train = [i % 5 != 0 for i in range(len(texts))]
     seqs = [[*t, None] for t in texts]
     count = [Counter(tuple(s[i : i + n]) for s, t in zip(seqs, train) if t for i in range(len(s) - n + 1)) for n in (1, 2, 3)]
-    off = [language_model.discount(sum(c == 1 for c in k.values()), sum(c == 2 for c in k.values())) for k in count]
-    follow = [Counter(k[:-1] for k in count[n]) for n in (1, 2)]
-    total = sum(count[0].values())
-
-    def p(words):
-        n = len(words) - 1
-        if n == 0:
-            return (count[0][words] - off[0]) / total if count[0][words] else off[0] * len(count[0]) / total
-        many = count[n - 1][words[:-1]]
-        return (max(count[n][words] - off[n], 0) + off[n] * follow[n - 1][words[:-1]] * p(words[1:])) / many if many else p(words[1:])
-
-    assert sum(p((*phrases[0][:2], w)) for (w,) in count[0]) + p((*phrases[0][:2], "never")) == pytest.approx(1)
+    total, off = sum(count[0].values()), language_model.discount(*(sum(c == k for c in count[0].values()) for k in (1, 2)))
+    tally = np.zeros((2, 2, language_model.CLASSES), np.int64)
+    for k in (0, 1):
+        for c in count[k].values():
+            tally[k, :, c - 1 if c <= 4 else 2 + math.ceil(math.log2(c))] += 1, c
+    m = [language_model.strength(tally[k], sum(c == 1 for c in count[k + 1].values())) for k in (0, 1)]
+
+    def arc(state, word):
+        p = count[0][word,] and (count[0][word,] - off) / total or off * len(count[0]) / total
+        for n in range(1, len(state) + 1):
+            h = state[len(state) - n :]
+            p = (count[n][*h, word] + m[n - 1] * p) / (count[n - 1][h] + m[n - 1])
+        return p
+
+    def read(words):
+        state, log = (), 0.0
+        for w in words:
+            while state and not count[len(state)][*state, w]:
+                log += math.log10(m[len(state) - 1] / (count[len(state) - 1][state] + m[len(state) - 1]))  # the failure arc
+                state = state[1:]
+            log += math.log10(arc(state, w))
+            state = (*state, w)[-2:]
+            while state and not count[len(state) - 1][state]:
+                state = state[1:]
+        return log
+
+    a, b = phrases[0][:2]
+    assert sum(10 ** (read([a, b, w]) - read([a, b])) for w in [*(w for (w,) in count[0]), "never"]) == pytest.approx(1)
     df = spark.createDataFrame([(i, " ".join(t), y) for i, (t, y) in enumerate(zip(texts, train))], "doc_id long, text string, train boolean").repartition(3)
     rows = language_model.score(df, F.col("train")).collect()
     assert len(rows) == len(texts)
     for r in rows:
-        s = seqs[r.doc_id]
-        assert r.score == pytest.approx(sum(math.log10(p(tuple(s[max(0, i - 2) : i + 1]))) for i in range(len(s))))
+        assert r.score == pytest.approx(read(seqs[r.doc_id]))
     held_out = [r for r in rows if not r.train]
     assert sum(r.score for r in held_out) > 0.6 * sum(r.base_score for r in held_out)
 
 
+def test_packed_numbers_come_back():
+    x = np.concatenate([np.arange(300), [2**14 - 1, 2**14, 2**40, 2**63]]).astype(np.uint64)
+    bounds = np.array([0, 0, 5, 200, len(x)])
+    out = language_model.packed(x, bounds)
+    assert (language_model.unpacked(np.frombuffer(b"".join(out.to_pylist()), np.uint8)) == x).all() and out[0].as_py() == b""
+    y = np.array([0, 1, 2**31], np.uint32)
+    assert (language_model.restored(language_model.pressed(y)) == y).all()
+
+
 def spellings(tree):
     """Every text of a rule's pattern (a class's characters by its first ones, a run by one x)."""
     parts = []
