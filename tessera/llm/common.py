@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,27 +63,44 @@ def crc_mod(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(n)
 
 
-def level(id_col: str, seed: int) -> Column:
-    """A geometric level 0, 1, 2, ... (probability 1/2, 1/4, ...) drawn from the id by hashing."""
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(1 << 40))
+def level(seed: int, *columns: str) -> Column:
+    """A geometric level 0, 1, 2, ... (probability 1/2, 1/4, ...) drawn from the columns by hashing."""
+    draw = F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 40))
     return F.floor(F.lit(40.0) - F.log2(draw.cast("double") + F.lit(1.0))).cast("int")
 
 
 def level_floors(totals: list[tuple], budget: float) -> dict:
-    """From rows (group, level, weight): the lowest level of each group from which all levels above fit the budget.
+    """From rows (group, level, weight): for each group the lowest and highest level of a run that fits the budget, as high and then as long as can be.
 
-    A group of which not even the highest level fits keeps that one level.
+    A level that doesn't fit alone is passed over if it is above the run and ends the run otherwise. A group without a level that fits is left out.
     """
-    floors: dict = {}
-    left: dict = {}
+    runs: dict = {}
     for group, at, weight in sorted(totals, key=lambda r: -r[1]):
-        if group not in floors:
-            floors[group], left[group] = at, budget - weight
-        elif left[group] is not None and weight <= left[group]:
-            floors[group], left[group] = at, left[group] - weight
+        low, high, left, open_ = runs.get(group, (None, None, budget, True))
+        if not open_:
+            continue
+        if weight <= left:
+            runs[group] = (at, at if high is None else high, left - weight, True)
         else:
-            left[group] = None
-    return floors
+            runs[group] = (low, high, left, high is None)
+    return {g: (low, high) for g, (low, high, *_) in runs.items() if low is not None}
+
+
+def drawn(rows: DataFrame, budget: Callable[[int], float], seed: int) -> DataFrame:
+    """Of rows (group, text, weight) those of a sample, drawn by a hash of the text, that weighs at most budget(number of groups) in each group.
+
+    Equal rows are drawn together; if a group is left without a sample since too many are equal, all are made distinct.
+    """
+    for distinct in (False, True):
+        if distinct:
+            rows = rows.dropDuplicates(["group", "text"])
+        levelled = rows.withColumn("level", level(seed, "text"))
+        totals = [tuple(r) for r in levelled.groupBy("group", "level").agg(F.sum("weight")).collect()]  # at most 41 for a group
+        floors = level_floors(totals, budget(len({r[0] for r in totals})))
+        if len(floors) == len({r[0] for r in totals}):
+            break
+    chosen = rows.sparkSession.createDataFrame([(g, *f) for g, f in floors.items()], f"g {rows.schema['group'].dataType.simpleString()}, low int, high int")
+    return levelled.join(chosen, levelled["group"] == chosen["g"]).where("level between low and high").select("group", "text")
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

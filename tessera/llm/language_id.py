@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashIndex, blocks, level, level_floors, text_bytes, tidy
+from .common import HashIndex, blocks, drawn, text_bytes, tidy
 
 #: Bytes in the longest n-gram: a context of four and the byte after it.
 LONGEST = 5
@@ -147,37 +147,31 @@ class Model:
         return out
 
 
-def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Column) -> dict[str, list[bytes]]:
-    """Training texts for each language: whole texts, drawn by a hash of the id, at most TRAIN_BYTES_EACH for a language."""
-    rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), level(id_col, 1).alias("level"), F.col(id_col).cast("string").alias("id")
-    )
-    totals = [tuple(r) for r in rows.groupBy("lang", "level").agg(F.sum(F.octet_length("text"))).collect()]  # at most 41 for a language
-    each = min(TRAIN_BYTES_EACH, TRAIN_BYTES // max(1, len({r[0] for r in totals})))
+def sampled(docs: DataFrame, text_col: str, lang_col: str, train: Column, most: int = TRAIN_BYTES, most_each: int = TRAIN_BYTES_EACH) -> dict[str, list[bytes]]:
+    """Training texts for each language: whole texts, drawn by their hash, at most ``most_each`` bytes for a language and ``most`` for all."""
+    text = F.col(text_col)
+    rows = docs.where(train & F.col(lang_col).isNotNull() & text.isNotNull()).select(F.col(lang_col).alias("group"), text.alias("text"), F.octet_length(text_col).alias("weight"))
     out: dict[str, list[bytes]] = {}
-    if floors := level_floors(totals, each):
-        chosen = F.lit(False)
-        for lang, floor in floors.items():
-            chosen |= (F.col("lang") == lang) & (F.col("level") >= floor)
-        for r in sorted(rows.where(chosen).collect(), key=lambda r: (r.lang, r.id or "", r.text)):
-            out.setdefault(r.lang, []).append(r.text.encode())
+    for r in sorted(drawn(rows, lambda n: min(most_each, most // max(1, n)), 1).collect()):  # ``most`` bytes
+        out.setdefault(r[0], []).append(r[1].encode())
     return out
 
 
-def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, train_bytes: int = TRAIN_BYTES, train_bytes_each: int = TRAIN_BYTES_EACH) -> DataFrame:
     """Predict the language of every whole text.
 
     train: the rows from which to learn (of these, null languages and texts are left
     out). carry: columns to return (the id alone if not given). Added: ``lang_pred``, ``score`` (the
     posterior of the prediction under equal priors), ``bits_per_byte`` (code length under it).
-    A carried column of one of these names is replaced.
+    A carried column of one of these names is replaced. train_bytes, train_bytes_each: bounds of the texts learnt
+    from, of all languages and of one (whole texts, drawn by their hash; a longer text than the bound is not learnt from).
 
     Null, empty and letterless texts: ``und``, score 0, null bits. Without any training
     text everything is ``und``. Languages of equal code length: the first by name. Repeated
     rows each get a row.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(Model(sampled(docs, id_col, text_col, lang_col, train)))  # bounded by TRAIN_BYTES
+    model = spark.sparkContext.broadcast(Model(sampled(docs, text_col, lang_col, train, train_bytes, train_bytes_each)))  # bounded by TRAIN_BYTES
     added = ("lang_pred", "score", "bits_per_byte")
     carry = [c for c in (carry or [id_col]) if c not in added]
     schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])

@@ -54,6 +54,8 @@ class WordIds:
         for token, i in tokenizer.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
         self.kind = np.dtype("<u2" if len(self.closes) <= 1 << 16 else "<u4")
+        #: Tokens that the tokenizer looks for before it lower-cases: they stand for themselves in this spelling only.
+        self.reserved = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {"": b""}
         self.marks = {m: self.whole([m])[0] for m in ".,"}
 
@@ -75,14 +77,14 @@ class WordIds:
                 some = new[at : at + self.TOGETHER]
                 self.known.update(zip(some, step(some)))
 
-    @staticmethod
-    def lowered(text: str) -> str:
+    def lowered(self, text: str) -> str:
         if not text.isascii():
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
                 return text
-        return text.lower()
+        low = text.lower()
+        return text if any(t in low for t in self.reserved) else low
 
     def of(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:

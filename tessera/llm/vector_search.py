@@ -142,7 +142,7 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     Rows of one id count as that vector's own and aren't candidates for one another; repeated ones are taken once.
     Without usable rows the result is empty.
     """
-    rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"), F.size(vector_col).alias("dim"), level(id_col, 6).alias("level"))
+    rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"), F.size(vector_col).alias("dim"), level(6, id_col).alias("level"))
     kinds = [tuple(r) for r in rows.groupBy("dim", "level").count().collect()]  # at most 41 for a length
     if not kinds:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import language_model, license_scan, toxicity
+from tessera.llm import language_id, language_model, license_scan, packing, toxicity
 from tessera.llm.license_rules import rules
 
 
@@ -107,12 +107,30 @@ def test_license_scan_finds_joined_spellings(spark):
         assert found and sorted(tuple(x) for x in rows[i].spans) == sorted(a[:4] for a in found if not any(inside(a, b) for b in found)), text
 
 
-def test_toxicity_fits_more_than_the_first_6000_ngrams(spark, monkeypatch):
+def test_toxicity_is_fitted_over_all_ngrams(spark, monkeypatch):
+    """Beginning with few n-grams ends where beginning with all of them does."""
     g = np.random.default_rng(1)
     words = ["".join(g.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)) for _ in range(1200)]
-    rows = [(i, " ".join(words[j] for j in g.integers(0, 600, 20) + 600 * (i % 2)), i % 2) for i in range(400)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    used, fit = [], toxicity.fit
-    monkeypatch.setattr(toxicity, "fit", lambda rows, buckets, *rest: used.append(len(np.unique(buckets))) or fit(rows, buckets, *rest))
-    toxicity.train_classifier(df, df, F.lit(True), "doc_id", "text", "toxic", "doc_id")
-    assert used[0] > 12_000
+    rows = [(i, " ".join(words[j] for j in g.integers(0, 900, 20) + 300 * (i % 2)), i % 2) for i in range(400)]
+    df = spark.createDataFrame([*rows, *[(1, rows[1][1], 1)] * 300], "doc_id long, text string, toxic int")
+    found = []
+    for start in (100, 1 << 20):
+        monkeypatch.setattr(toxicity, "START", start)
+        found.append({r.doc_id: r.score for r in toxicity.toxicity(df, df, F.lit(True)).collect()})
+    assert max(abs(found[0][i] - found[1][i]) for i in found[0]) < 0.03
+
+
+def test_samples_are_bounded(spark):
+    """Rows that are all alike, in any number, are one in the sample; texts over the bound are not learnt from."""
+    rows = spark.range(5000).select(F.lit("en").alias("lang"), F.lit("the same text " * 70).alias("text")).unionByName(spark.createDataFrame([("en", "x" * 5000), ("en", "another"), ("fr", "y" * 3000)], "lang string, text string"))
+    found = language_id.sampled(rows, "text", "lang", F.lit(True), 4000, 2000)
+    assert sum(map(len, found["en"])) <= 2000 and len(found["en"]) >= 1 and "fr" not in found
+
+
+def test_packing_leaves_reserved_tokens_as_written(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|ENDOFTEXT|> b", "A<|startofText|>B <|endoftext|>, C.", "é<|ENDOFTEXT|>É ok", "<|ENDOF TEXT|>"]
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == [*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
