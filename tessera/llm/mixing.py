@@ -1,11 +1,13 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every document of a source is to be copied target / source size times. The whole part is
-taken; the fractional parts are rounded together: a document's fraction is moved up
-or down, at random with the chances that keep every expectation, and documents after
-it give or receive the same number of words in return, each until it is settled, so the
-words of the source stay as they are. What one group leaves unsettled, at most one
-document for a source, meets other groups' leavings in a reduction tree; the last is rounded alone.
+taken; the fractional parts are rounded in pairs: words go from one document of a pair to the other, in one direction or the other with the
+chances that keep both expectations, until a fraction of theirs is 0 or 1. The other document
+meets the next one, so the words of a source stay as they are. What is left of a source in a group
+of rows, at most one document, meets the leavings of neighbouring groups in a reduction tree; a source's last is rounded alone.
+
+Groups are runs of rows ordered by source, so that a hot source is spread over many, many small sources share one, and
+rows without id or with equal ids are like others.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
@@ -23,65 +25,52 @@ from .common import keep
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Rows that one task of the first level rounds together, and groups that meet in one of the next.
 GROUP_ROWS, FAN_IN = 4096, 64
-#: So many sources at most are broadcast with their targets; more are joined by shuffling.
-BROADCAST_SOURCES = 10_000
-
-
-def targets(sizes: list[tuple[str | None, int]]) -> dict[str | None, float]:
-    """Words for each source: SHARE of all words by weight (sources by code point, null last), at most MOST times its own."""
-    order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
-    weight = np.array([WEIGHTS[i % len(WEIGHTS)] for i in range(len(order))], float)
-    size = np.array([n for _, n in order], float)
-    out, free, left = np.zeros(len(order)), np.ones(len(order), bool), SHARE * size.sum()
-    while free.any():
-        share = np.where(free, weight * left / weight[free].sum(), 0)
-        over = free & (share > MOST * size)
-        if not over.any():
-            out[free] = share[free]
+EPS = 1e-12
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str, at: str) -> DataFrame:
+    """The rows, kept, with their place (from 0) in this order as column ``at``; equal rows follow each other in any order."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = rows.withColumn("_tie", F.monotonically_increasing_id())
+    laid = tied.repartitionByRange(parts, *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie").withColumn(at, F.monotonically_increasing_id())
+    out = keep(laid, name)
+    part = F.shiftright(at, 33)
+    offsets, before = [], 0
+    for p, n in sorted(tuple(r) for r in out.groupBy(part.alias("_part")).count().collect()):  # a row for each partition
+        offsets.append((p, before - (p << 33)))
+        before += n
+    table = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_part2 long, _offset long"))
+    return out.join(table, part == F.col("_part2")).withColumn(at, F.col(at) + F.col("_offset")).drop("_part2", "_offset")
+
+
+def targets(rows: DataFrame) -> DataFrame:
+    """From kept rows (source, size, place): a row for each source: source, source_size, target, rate, first and last place.
+
+    Sources by code point, null last, weigh WEIGHTS, repeating, and share SHARE of all words; where that is above MOST times a source's own,
+    it stops there and the others share the rest by weight. All sums are of whole numbers, so reruns agree.
+    """
+    own = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("place").alias("first"), F.max("place").alias("last"))
+    ranked = numbered(own, [F.col("source").asc_nulls_last()], "sources", "rank")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
+    table = ranked.withColumn("weight", weight).withColumn("most", F.col("source_size") * MOST)
+    whole = table.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    level, stopped = 0.0, -1
+    while True:  # words for each unit of weight; each round stops more sources or is the last
+        over = F.col("most") < F.col("weight") * F.lit(level)
+        taken, free, n = table.agg(F.coalesce(F.sum(F.when(over, F.col("source_size"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0)), F.count(F.when(over, 1))).first()
+        if n == stopped or not free:
             break
-        out[over] = MOST * size[over]
-        left -= out[over].sum()
-        free &= ~over
-    return {s: float(t) for (s, _), t in zip(order, out)}
-
-
-def rounded(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """Fractions p after pivoting: all but one at most are 0 or 1, sum(p * size) is the same. In the order given."""
-    p, eps = p.astype(float).copy(), 1e-12
-    i, n = 0, len(p)
-    while i < n:
-        if p[i] <= eps or p[i] >= 1 - eps:
-            p[i] = round(p[i])
-            i += 1
-            continue
-        # going up takes words from partners, going down gives them words; a partner's share is bounded by both
-        need, up, j, taken = 1.0, draw[i] < p[i], i + 1, []
-        while need > eps and j < n:
-            if eps < p[j] < 1 - eps:
-                most = min(size[j] * p[j] / (size[i] * (1 - p[i])), size[j] * (1 - p[j]) / (size[i] * p[i]))
-                taken.append((j, min(need, most)))
-                need -= taken[-1][1]
-            j += 1
-        share = min(1.0, 1.0 - need) if need > eps else 1.0
-        if not taken:
-            break  # it is the last one
-        # with too few partners the document moves only part of the way to either end
-        high, low = p[i] + share * (1 - p[i]), p[i] * (1 - share)
-        old = p[i]
-        for k, s in taken:
-            p[k] += (-s * size[i] * (1 - old) if up else s * size[i] * old) / size[k]
-        p[i] = high if up else low
-        if share < 1:
-            return partly(p, size, draw)
-        i += 1
-    return np.where(p <= eps, 0.0, np.where(p >= 1 - eps, 1.0, p))
-
-
-def partly(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """The few that are left when a large document has too few partners: plain pairs, each until one is settled."""
-    eps, held = 1e-12, -1
+        level, stopped = (SHARE * whole - MOST * taken) / free, n
+    target = F.least(F.col("most"), F.col("weight") * F.lit(level))
+    rate = F.when(F.col("source_size") > 0, F.least(target / F.col("source_size"), F.lit(MOST))).otherwise(0.0)
+    return keep(table.select("source", "source_size", target.alias("target"), rate.alias("rate"), "first", "last"), "targets")
+
+
+def paired(p: np.ndarray, size: np.ndarray, draw: Iterator[float]) -> int:
+    """Round fractions p in place, pair by pair: all but one become 0 or 1, sum(p * size) and every expectation stay. Returns the place of that one, or -1."""
+    held = -1
     for i in range(len(p)):
-        if not eps < p[i] < 1 - eps:
+        if p[i] <= EPS or p[i] >= 1 - EPS:
             p[i] = round(p[i])
             continue
         if held < 0:
@@ -90,40 +79,46 @@ def partly(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
         a, b = held, i
         up = min(size[a] * (1 - p[a]), size[b] * p[b])  # words that can go from b to a
         down = min(size[a] * p[a], size[b] * (1 - p[b]))
-        move = up if draw[i] < down / (up + down) else -down
+        move = up if next(draw) < down / (up + down) else -down
         p[a] += move / size[a]
         p[b] -= move / size[b]
+        held = -1
         for k in (a, b):
-            if not eps < p[k] < 1 - eps:
+            if p[k] <= EPS or p[k] >= 1 - EPS:
                 p[k] = round(p[k])
-        held = next((k for k in (a, b) if eps < p[k] < 1 - eps), -1)
-    return p
+            else:
+                held = k
+    return held
+
 
+def draws(depth: int, group: int, n: int) -> Iterator[float]:
+    seed = hashlib.blake2b(f"{depth} {group}".encode(), digest_size=8).digest()
+    return iter(np.random.Generator(np.random.Philox(int.from_bytes(seed, "big"))).random(n).tolist())
 
-def draws(source: str | None, depth: int, group: int, n: int) -> np.ndarray:
-    seed = hashlib.blake2b(repr((source, depth, group)).encode(), digest_size=8).digest()
-    return np.random.Generator(np.random.Philox(int.from_bytes(seed, "big"))).random(n)
 
+def settle(depth: int) -> callable:
+    """A function that rounds the sources of one group of rows; a source that lies within the group is rounded to its end."""
+    span = GROUP_ROWS * FAN_IN**depth
 
-def settle(depth: int, last: bool) -> callable:
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["size", "key"], ascending=[False, True], kind="stable")
-        group, parts = int(frame["group"].iloc[0]), []
-        for source, rows in frame.groupby("source", dropna=False, sort=False):
-            name = None if pd.isna(source) else source
-            draw = draws(name, depth, group, len(rows))
-            p = rounded(rows["p"].to_numpy(), rows["size"].to_numpy().astype(float), draw)
-            if last:
-                p = np.where((p > 0) & (p < 1), draws(name, -1, group, len(p)) < p, p).astype(float)
-            parts.append(rows.assign(p=p))
-        return pd.concat(parts)
+        frame = frame.sort_values(["first", "size", "place"], ascending=[True, False, True])  # large ones first, so that small ones are left
+        draw = draws(depth, int(frame["place"].iloc[0]) // span, 2 * len(frame))
+        p, size, first, last = (frame[c].tolist() for c in ("p", "size", "first", "last"))
+        edges = np.flatnonzero(np.diff(frame["first"].to_numpy(), prepend=-1, append=-1)).tolist()
+        for a, b in zip(edges, edges[1:]):
+            part = p[a:b]
+            left = paired(part, size[a:b], draw)
+            if left >= 0 and first[a] // span == last[a] // span:
+                part[left] = float(next(draw) < part[left])
+            p[a:b] = part
+        return frame.assign(p=p)
 
     return one
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, extra: tuple = ()) -> DataFrame:
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *extra)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("_hash"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -131,35 +126,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     copies is 0, 1 or 2 and taken is size * copies. A source is a group of its own if null. Null, empty and
     blank texts have size 0, take no part in the rounding and get 0 copies. The draws depend on
-    sources, ids and sizes alone, so reruns agree; repeated rows and rows of null id get a row each, and
-    equal ones may be given different numbers of copies. Without any row the result is empty.
+    sources, ids and texts alone, so reruns agree; repeated rows and rows of null id get a row each, and
+    equal ones may be given different numbers of copies. Sources, like rows, are never gathered in one place. Without any row the result is empty.
     """
-    rows = keep(sized(docs, id_col, text_col, source_col), "sizes")
-    spark = docs.sparkSession
-    sources = [(r[0], r[1], r[2]) for r in rows.groupBy("source").agg(F.sum("size"), F.count("*")).collect()]  # a row for each source
-    target = targets([(s, n) for s, n, _ in sources])
-    table = spark.createDataFrame([(s, s is None, n, target[s], target[s] / n if n else 0.0) for s, n, _ in sources], "source2 string, none boolean, source_size long, target double, rate double")
-    if len(sources) <= BROADCAST_SOURCES:
-        table = F.broadcast(table)
-    groups = 1 << max(0, int(np.ceil(np.log2(max(1, sum(n for *_, n in sources)) / GROUP_ROWS))))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = (
+    rows = numbered(sized(docs, id_col, text_col, source_col), [F.col("source").asc_nulls_last(), F.col("_hash"), F.col("size"), F.col("doc_id")], "sizes", "place")
+    table = targets(rows).withColumnRenamed("source", "source2")
+    with_rate = (
         rows.join(table, rows["source"].eqNullSafe(table["source2"]))
-        .select("doc_id", "source", "size", "source_size", "target", F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"))
-        .withColumn("key", key)
-        .withColumn("group", F.when(F.col("size") > 0, F.pmod(F.xxhash64("key", F.lit(5)), F.lit(groups))))
+        .select("doc_id", "source", "size", "source_size", "target", F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), "place", "first", "last")
     )
-    schema = rows.schema
-    none = rows.where("size = 0").withColumn("whole", F.lit(0)).withColumn("p", F.lit(0.0))
-    todo, depth, done = rows.where("size > 0"), 0, [none]
+    none = with_rate.where("size = 0").withColumn("whole", F.lit(0)).withColumn("p", F.lit(0.0))
+    many, done, depth, todo = rows.count(), [none], 0, with_rate.where("size > 0")
     while True:
-        last = groups == 1
-        level = keep(todo.groupBy("group").applyInPandas(settle(depth, last), schema), f"mix-{depth}")
+        span = GROUP_ROWS * FAN_IN**depth
+        level = keep(todo.groupBy(F.floor(F.col("place") / span)).applyInPandas(settle(depth), with_rate.schema), f"mix-{depth}")
         done.append(level.where("p = 0 or p = 1"))
-        if last:
+        if span >= many:
             break
-        groups = -(-groups // FAN_IN)
-        todo, depth = level.where("p > 0 and p < 1").withColumn("group", F.floor(F.col("group") / FAN_IN).cast("long")), depth + 1
+        todo, depth = level.where("p > 0 and p < 1"), depth + 1
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

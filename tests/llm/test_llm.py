@@ -142,19 +142,54 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_targets_and_rounding():
-    found = mixing.targets([("b", 100), ("a", 10), (None, 1000), ("c", 0)])
-    assert found["a"] == 20 and found["c"] == 0 and sum(found.values()) == pytest.approx(1.5 * 1110) and all(found[s] <= 2 * n + 1e-9 for s, n in (("a", 10), ("b", 100), (None, 1000)))
+def test_targets(spark):
+    def brute(sizes):
+        order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
+        weight = [mixing.WEIGHTS[i % 3] for i in range(len(order))]
+        stopped: set = set()
+        while True:
+            left = 1.5 * sum(n for _, n in order) - sum(2 * order[i][1] for i in stopped)
+            free = sum(w for i, w in enumerate(weight) if i not in stopped)
+            more = {i for i in range(len(order)) if i not in stopped and left * weight[i] / free > 2 * order[i][1]}
+            if not more:
+                return {s: 2.0 * n if i in stopped else left * weight[i] / free for i, (s, n) in enumerate(order)}
+            stopped |= more
+
+    g = np.random.default_rng(3)
+    for sizes in ([("b", 100), ("a", 10), (None, 1000), ("c", 0)], [(f"s{i}", int(n)) for i, n in enumerate(g.integers(1, 10_000, 300))], [("one", 5)], [("z", 0)]):
+        rows = mixing.keep(spark.createDataFrame([(s, n, i) for i, (s, n) in enumerate(sizes)], "source string, size long, place long"), "t")
+        found = {r.source: r.target for r in mixing.targets(rows).collect()}
+        want = brute(sizes) if sizes != [("z", 0)] else {"z": 0.0}
+        assert found == {s: pytest.approx(t) for s, t in want.items()}
+
+
+def test_pairs_keep_words_and_expectations():
     g = np.random.default_rng(2)
     mean = np.zeros(30)
     size, p = np.sort(g.integers(1, 500, 30))[::-1].astype(float), g.random(30)
     for _ in range(4000):
-        out = mixing.rounded(p, size, g.random(30))
-        assert ((out > 0) & (out < 1)).sum() <= 1 and out @ size == pytest.approx(p @ size)
+        out = p.copy()
+        left = mixing.paired(out, size, iter(g.random(60)))
+        assert ((out > 0) & (out < 1)).sum() <= 1 and (left < 0 or 0 < out[left] < 1) and out @ size == pytest.approx(p @ size)
         mean += out
     assert np.abs(mean / 4000 - p).max() < 0.05
 
 
+def test_mixing_through_the_tree(spark, monkeypatch):
+    """As many sources as rows, a hot source without ids, copies of one row: every source within one document of its target."""
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 16)
+    monkeypatch.setattr(mixing, "FAN_IN", 3)
+    rows = [(i, "w " * (1 + i % 7), f"s{i:04d}") for i in range(600)] + [(None, "word " * (1 + i % 5), "hot") for i in range(900)] + [(7, "same words here", "copies")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(df).toPandas()
+    assert len(found) == len(rows)
+    for _, own in found.groupby("source"):
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= own["size"].max() and own.source_size.iloc[0] == own["size"].sum()
+    again = mixing.mix(df.repartition(5)).toPandas()
+    key = list(found.columns)
+    assert found.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+
+
 def test_vector_search(spark):
     g = np.random.default_rng(1)
     vectors = g.normal(size=(900, 17))
