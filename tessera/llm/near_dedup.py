@@ -12,8 +12,10 @@ at most as many bits as their sets do in elements, and no pair with the similari
 Documents of equal sets are one class, and the join runs over classes. Under each key
 all members are first held against the smallest one, so a large group of near copies costs as
 many pairs as it has members. Components of these links come next; then, in each key, only members
-that are still in different components are held against one another. No pair that meets
-and isn't linked already goes untested.
+that are still in different components are held against one another. Where many are left in a key (texts that share a
+long passage, say, and nothing else) they meet again by their rarest shingles: two sets of the similarity share one of the
+rarest quarter of each. What is still crowded is dealt in blocks, so no task holds a group whole. No pair that meets
+and may be a link goes untested.
 """
 
 from __future__ import annotations
@@ -27,14 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, keep, mixed, text_bytes, tidy, word_hashes
+from .common import blocks, discard, keep, mixed, text_bytes, tidy, word_hashes
 
 WORDS, PERCENT = 5, 75
 CHUNKS, LANES, BITS = 8, 4, 14
 #: Longs in the parity bitmap of a set.
 PARITY = 16
-#: Pairs that met at a distance above this are not confirmed: below one in 10**5 of those with the similarity.
-FARTHEST = 20
+#: Members of a key that are held against one another in one task; more meet by rare shingles, then in blocks of so many.
+CROWD = 128
 #: Up to so many ids are broadcast to find the texts that are to be confirmed; beyond, the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 SKETCH = [f"s{i}" for i in range(CHUNKS)] + [f"p{i}" for i in range(PARITY)]
@@ -98,41 +100,34 @@ def described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """id and the sorted shingle hashes of each of these ids."""
+    """Class and sorted shingle hashes of the texts of these ids."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
             for a, b in blocks(offsets, 1 << 20):
                 h, bounds = shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-                sets = [np.unique(h[i:j]).view(np.int64) for i, j in zip(bounds[:-1], bounds[1:])]
+                sets = [np.unique(h[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["id", "hashes"])
+                cls = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["cls", "hashes"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("hashes", T.ArrayType(T.LongType()))])
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.select(F.col(id_col).alias("id"), text_col).join(wanted, "id", "left_semi").mapInArrow(tidy(expand), schema)
-
-
-def distance(a: str, b: str) -> Column:
-    """Number of symbols in which the signatures of a and b differ."""
-    ones = sum(((1 << BITS) - 1) << (i * (BITS + 1)) for i in range(LANES))
-    tops = sum(1 << (i * (BITS + 1) + BITS) for i in range(LANES))
-    return reduce(lambda x, y: x + y, [F.bit_count((F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}")) + F.lit(ones)).bitwiseAND(F.lit(tops))) for i in range(CHUNKS)])
+    return docs.select(F.col(id_col).alias("id"), text_col).join(wanted, "id", "left_semi").mapInArrow(tidy(expand), "cls long, hashes array<long>")
 
 
 def reachable(percent: int) -> Column:
-    """Whether sets of these sizes and bitmaps can have the similarity, and signatures at this distance plausibly do."""
+    """Whether sets of these sizes and bitmaps can have the similarity."""
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.p{i}").bitwiseXOR(F.col(f"b.p{i}"))) for i in range(PARITY)])
     # |A ^ B| = |A| + |B| - 2 |A & B|, and |A & B| is percent / (100 + percent) of |A| + |B| at least
-    return (small * 100 >= large * percent) & (distance("a", "b") <= FARTHEST) & (apart * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent))
+    return (small * 100 >= large * percent) & (apart * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of which 100 * |intersection| >= percent * |union|."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
+    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a")
+    both = left.join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb")).cast("long")
     return both.where(common * 100 >= (F.size("ha") + F.size("hb") - common) * percent).select("a", "b").distinct()
 
@@ -140,55 +135,102 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the smallest node that can be reached) of every node in links (a, b).
 
-    Rounds of taking the neighbours' smallest label and then that label's own label, until nothing
-    changes; each round's labels are written to the shared folder.
+    Large and small stars in turn (Kiveris et al., 2014): a node's larger neighbours are tied to its smallest, then its smaller ones
+    are, until nothing changes. The rounds grow with the logarithm of the nodes, not with the longest path; each round's edges are written to the shared folder.
+    """
+    spread = lambda e: e.union(e.select("b", "a")).toDF("node", "to")
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    edges = keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    before = state(edges)
+    while before[0]:
+        both = spread(edges)
+        least = both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("least"))
+        large = both.where("to > node").join(least, "node").select(F.col("least").alias("a"), F.col("to").alias("b")).distinct()
+        large = keep(large, "edges")
+        least = large.groupBy("b").agg(F.min("a").alias("least"))
+        tied = large.join(least, "b")
+        small = tied.select(F.col("least").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
+        small = keep(small, "edges")
+        discard(edges, large)
+        edges, now = small, state(small)
+        if now == before:
+            break
+        before = now
+    return spread(edges).groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("comp"))
+
+
+def paired(members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a < b) of members (key, cls, comp, n, sketch) of a key that may be links between two components.
+
+    A crowded key is dealt in blocks of about CROWD members, and every two blocks meet in a task's group of their own.
+    """
+    many = members.groupBy("key").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "blocks")
+    dealt = members.join(many, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = keep(dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks"), "dealt")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "i", "j")])
+    once = (F.col("a.i") == F.col("a.j")) | (F.col("a.own") != F.col("b.own"))
+    met = dealt.alias("a").join(dealt.alias("b"), same & once & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp")) & reachable(percent))
+    return met.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
+
+
+def rare_keys(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """cls, key (a shingle's hash): for each member its rarest shingles among all members', as many as any set of the similarity must share one of.
+
+    Of |A| shingles a similar set has percent of them at least; so of the other |A| - that + 1 in any common order the two share the first they share.
+    Shingles of one member alone are left out after they have been counted.
     """
-    both = keep(links.union(links.select("b", "a")).toDF("node", "to"), "edges")
-    labels = keep(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("comp")), "labels")
-    while True:
-        named = both.join(labels.toDF("to", "near"), "to").groupBy("node").agg(F.min("near").alias("near"))
-        hooked = labels.join(named, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jumped = hooked.alias("x").join(labels.toDF("at", "further").alias("y"), F.col("x.comp") == F.col("y.at"))
-        new = keep(jumped.select("node", "old", F.least("comp", "further").alias("comp")), "labels")
-        labels = new.select("node", "comp")
-        if new.where("old <> comp").isEmpty():
-            return labels
+    each = sets.join(members, "cls", "left_semi").select("cls", F.explode("hashes").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("df"))
+    ranked = each.join(often, "key").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("by"))  # a document's own shingles
+    first = F.size("by") - F.ceil(F.size("by") * F.lit(percent) / 100) + 1
+    return ranked.select("cls", F.explode(F.slice("by", F.lit(1), first.cast("int"))).alias("x")).where("x.df > 1").select("cls", F.col("x.key").alias("key"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id it is linked to, over any number of links), kept.
 
     Words are what stands between ASCII white space after lower-casing A-Z. A text of fewer words than a shingle is one shingle;
-    null, empty and blank texts have none and are linked with nothing (their own component, kept). Ids are taken to be unique: rows
-    repeated with their id each get a row, all kept or all not. Rows without id get n_shingles, a null
-    component and are kept. Without rows the result is empty.
+    null, empty and blank texts have none and are linked with nothing (their own component, kept). Rows that repeat an id are documents of their own,
+    whether their texts are equal or not; each gets a row, and those of the component's smallest id are kept. Rows without id get n_shingles, a null
+    component and are kept, and link nothing. Without rows the result is empty; other columns are not read.
     """
     base = keep(described(docs, id_col, text_col, words), "signatures")
+    # a class is known by its sets' sum of hashes, and told from others by both digests and the size
     classes = keep(
-        base.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), *(F.min(s).alias(s) for s in SKETCH)), "classes"
+        base.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("h1").alias("cls"), "h2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), *(F.min(s).alias(s) for s in SKETCH)), "classes"
     )
     masks = [~(((1 << BITS) - 1) << (i * (BITS + 1))) for i in range(LANES)]
     keys = F.array(*(F.xxhash64(F.lit(c * LANES + i), F.col(f"s{c}").bitwiseAND(F.lit(m))) for c in range(CHUNKS) for i, m in enumerate(masks)))
-    members = classes.select("rep", F.explode(keys).alias("key"))
-    leaders = keep(members.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("many")).where("many > 1").select("key", "leader"), "leaders")
+    members = classes.select("cls", F.explode(keys).alias("key"))
+    leaders = keep(members.groupBy("key").agg(F.min("cls").alias("leader"), F.count("*").alias("many")).where("many > 1").select("key", "leader"), "leaders")
     met = keep(members.join(leaders, "key"), "met")  # members of keys that are not alone
-    known = classes.select("rep", "n", *SKETCH)
-    near = lambda pairs: pairs.join(known.alias("a"), F.col("p.a") == F.col("a.rep")).join(known.alias("b"), F.col("p.b") == F.col("b.rep")).where(reachable(percent)).select("p.a", "p.b")
-    first = keep(near(met.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct().alias("p")), "pairs")
-    sets = keep(full_sets(docs, met.select(F.col("rep").alias("id")).distinct(), id_col, text_col, words), "sets")
+    known = classes.select("cls", "n", *SKETCH)
+    near = lambda pairs: pairs.join(known.alias("a"), F.col("p.a") == F.col("a.cls")).join(known.alias("b"), F.col("p.b") == F.col("b.cls")).where(reachable(percent)).select("p.a", "p.b")
+    first = keep(near(met.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct().alias("p")), "pairs")
+    sets = full_sets(docs, classes.join(met.select("cls").distinct(), "cls", "left_semi").select(F.col("rep").alias("id")).distinct(), id_col, text_col, words)
+    if not base.where("doc_id is not null").groupBy("doc_id", "h1").count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["cls"])  # rows that are repeated with their id
+    sets = keep(sets, "sets")
     links = keep(confirmed(first, sets, percent), "links")
-    labels = components(links)
+    labels = keep(components(links), "labels")
     # keys that still hold several components
-    open_ = met.join(labels, met["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    mixed_keys = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = keep(open_.join(mixed_keys, "key", "left_semi").join(known, "rep"), "open")
-    pairs = rest.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.comp") != F.col("b.comp")) & reachable(percent))
-    second = keep(pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "pairs2")
+    open_ = met.join(labels, met["cls"] == labels["node"], "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
+    still = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
+    rest = keep(open_.join(still.select("key", "many"), "key").join(known, "cls"), "open")
+    crowded = rest.where(F.col("many") > CROWD)
+    second = paired(rest.where(F.col("many") <= CROWD).drop("many"), percent)
+    if not crowded.isEmpty():
+        each = keep(crowded.drop("key", "many").dropDuplicates(["cls"]), "crowded")
+        second = second.union(paired(each.join(rare_keys(each.select("cls"), sets, percent), "cls"), percent)).distinct()
+    second = keep(second.join(first, ["a", "b"], "left_anti"), "pairs2")
     more = keep(confirmed(second, sets, percent), "links2")
     if not more.isEmpty():
-        labels = components(links.union(more))
-    found = classes.join(labels, classes["rep"] == labels["node"], "left").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("comp", "rep").alias("comp"))
+        labels = keep(components(links.union(more)), "labels")
+    named = classes.join(labels, classes["cls"] == labels["node"], "left").select(F.col("cls").alias("c1"), F.col("h2").alias("c2"), "rep", F.coalesce("comp", "cls").alias("comp"))
+    smallest = named.groupBy("comp").agg(F.min("rep").alias("component"))
+    found = keep(named.join(smallest, "comp").select("c1", "c2", "component"), "components")
+    discard(met, leaders, first, sets, links, rest, second, more)
     out = base.select("doc_id", "n_shingles", "h1", "h2").join(found, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component).alias("component_id")
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

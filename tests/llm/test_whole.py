@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, language_model, license_scan, packing, toxicity
+from tessera.llm import language_id, language_model, license_scan, near_dedup, packing, toxicity
 from tessera.llm.license_rules import rules
 
 
@@ -134,3 +134,52 @@ def test_packing_leaves_reserved_tokens_as_written(spark):
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
     for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
         assert np.frombuffer(r.ids, "<u4").tolist() == [*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
+
+
+def brute_components(texts):
+    sets = {i: near_dedup_set(t) for i, t in texts.items()}
+    comp = {i: i for i in texts}
+    find = lambda i: i if comp[i] == i else find(comp[i])
+    for a, b in itertools.combinations(texts, 2):
+        small, large = sorted((len(sets[a]), len(sets[b])))
+        if small and 100 * small >= 75 * large and 100 * (n := len(sets[a] & sets[b])) >= 75 * (small + large - n):
+            x, y = sorted((find(a), find(b)))
+            comp[y] = x
+    return {i: find(i) for i in texts}
+
+
+def near_dedup_set(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_near_duplicates_among_many_texts_that_share_a_passage(spark, monkeypatch):
+    """Hundreds of texts with one template, some of them near copies of one another: crowded keys, rare shingles and blocks."""
+    monkeypatch.setattr(near_dedup, "CROWD", 8)
+    made = []
+    monkeypatch.setattr(near_dedup, "rare_keys", lambda *a, f=near_dedup.rare_keys: made.append(f(*a)) or made[-1])
+    g = random.Random(3)
+    word = lambda: f"w{g.randrange(10**6)}"
+    template = [word() for _ in range(104)]
+    texts = {i: template + [word() for _ in range(60)] for i in range(300)}
+    for i in range(300, 360):  # chains of near copies, their own words last
+        texts[i] = texts[i - 1 if i % 3 else i - 200][:-5] + [word() for _ in range(5)]
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    assert found == brute_components(texts) and made
+
+
+def test_components_of_long_paths(spark):
+    g = random.Random(5)
+    nodes = g.sample(range(10**6), 300)
+    links = [(a, b) if g.random() < 0.5 else (b, a) for a, b in zip(nodes[:200], nodes[1:200])] + [(nodes[250], x) for x in nodes[251:]]
+    found = {r.node: r.comp for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {x: min(nodes[:200]) for x in nodes[:200]} | {x: min(nodes[250:]) for x in nodes[250:]}
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    long = lambda s: " ".join(f"{s}{i}" for i in range(40))
+    rows = [(1, long("a")), (1, long("b")), (1, long("b")), (2, long("b") + " end"), (3, long("c")), (None, long("c")), (4, None)]
+    found = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [(0, 36, 0, True), (1, 36, 1, True), (1, 36, 1, True), (1, 36, 1, True), (2, 37, 1, False), (3, 36, 3, True), (4, 0, 4, True)]
