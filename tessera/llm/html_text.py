@@ -13,6 +13,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,35 +28,77 @@ from .common import tidy
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-SKIPPED_TAGS = frozenset("script style noscript template iframe object svg math textarea head title select canvas video audio noframes noembed xmp".split())
+SKIPPED_TAGS = frozenset("script style noscript template iframe textarea head title select canvas video audio noframes noembed".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes".split())
-#: Tags that an opening block tag closes if they are open without being closed.
-CLOSED_BY_BLOCK = frozenset("p".split())
+RAW_TAGS = frozenset("script style textarea title iframe noembed noframes".split())
 INLINE_KEPT = frozenset("a b i em strong span u small sup sub code q cite mark font label abbr".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)", re.S)
+#: The rest of a tag; a quoted value may hold the tag's end.
+REST = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+#: So far an end of a tag is sought once a page has had one whose quotes don't match.
+NEAR = 1 << 10
+ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 MARK = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 SPACE = re.compile(r"\s+")
 FEATURES = 1 << 12
 
 
+class Node:
+    """An open tag: its parent, its name, the words of its attributes; ``inside`` are the features of it and all its ancestors, shared with the parent if it adds none."""
+
+    __slots__ = ("fixed", "inside", "marks", "parent", "tag")
+
+    def __init__(self, parent: Node | None, tag: str, marks: tuple):
+        self.parent, self.tag, self.marks, self.inside, self.fixed = parent, tag, marks, None, None
+
+    def features(self) -> list[int]:
+        """Of a block that stands here."""
+        if self.fixed is None:
+            path, node = [], self
+            while node is not None and node.inside is None:
+                path.append(node)
+                node = node.parent
+            inside = node.inside if node is not None else frozenset()
+            for x in reversed(path):
+                own = {numbered(f"mark:{w}") for w in x.marks}
+                if x.tag not in INLINE_KEPT:
+                    own.add(numbered(f"in:{x.tag}"))
+                inside = inside if own <= inside else inside | own
+                x.inside = inside
+            leaf = self
+            while leaf is not None and leaf.tag in INLINE_KEPT:
+                leaf = leaf.parent
+            self.fixed = sorted(inside | {numbered("bias"), numbered(f"leaf:{leaf.tag if leaf is not None else ''}")})
+        return self.fixed
+
+
 class Block:
-    __slots__ = ("links", "marks", "pieces", "text", "tags")
+    __slots__ = ("links", "node", "pieces", "text")
+
+    def __init__(self, node: Node | None):
+        self.node, self.pieces, self.links, self.text = node, [], 0, ""
 
-    def __init__(self, tags: tuple, marks: tuple):
-        self.tags, self.marks, self.pieces, self.links, self.text = tags, marks, [], 0, ""
+
+def hidden(attributes: str) -> bool:
+    for name, *values in ATTRIBUTE.findall(attributes):
+        value = "".join(values).lower().replace(" ", "")
+        if (name := name.lower()) == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value:
+            return True
+    return False
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The page's blocks of text, in page order."""
+    """The page's blocks of text, in page order. The work is in proportion to the page, however its tags are nested or left open."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []  # open tags with the words of their attributes
+    stack: list[Node] = []
+    block_at: list[int] = []  # places of block tags in the stack
+    opened: Counter = Counter()  # open block tags by name
+    scopes: list[Counter] = [Counter()]  # open inline tags by name, since each open block tag
     raw_end: dict[str, re.Pattern] = {}
     current: Block | None = None
-    at, skip, n = 0, 0, len(page)
+    at, skip, n, last_end, matched = 0, 0, len(page), page.rfind(">"), True
 
     def text(piece: str) -> None:
         nonlocal current
@@ -64,20 +107,47 @@ def leaf_blocks(page: str) -> list[Block]:
         if current is None:
             if piece.isspace():
                 return
-            current = Block(tuple(t for t, _ in stack if t not in INLINE_KEPT), tuple(w for _, m in stack for w in m))
+            current = Block(stack[-1] if stack else None)
             out.append(current)
         piece = html.unescape(piece) if "&" in piece else piece
         current.pieces.append(piece)
-        if any(t == "a" for t, _ in stack[-3:]):
+        if any(x.tag == "a" for x in stack[-3:]):
             current.links += len(piece)
 
+    def close(to: int) -> None:
+        """The tags from this place on are no longer open."""
+        nonlocal skip
+        while len(stack) > to:
+            tag = stack.pop().tag
+            skip -= tag in SKIPPED_TAGS
+            if tag in BLOCK_TAGS:
+                block_at.pop()
+                scopes.pop()
+                opened[tag] -= 1
+            else:
+                scopes[-1][tag] -= 1
+
     while at < n:
-        found = TOKEN.search(page, at)
+        found = TOKEN.search(page, at) if at <= last_end or "<!" in page[at:] else None
         if not found:
             text(page[at:])
             break
-        text(page[at : found.start()])
-        at = found.end()
+        start, attributes = found.start(), ""
+        if found[2] is not None:
+            rest = REST.match(page, found.end()) if matched else REST.match(page, found.end(), min(n, found.end() + NEAR))
+            if rest:
+                attributes, end = rest[1], rest.end()
+            else:
+                matched = False  # a quote that is never closed: the tag ends at the next sign for it
+                end = page.find(">", found.end()) + 1 if found.end() <= last_end else 0
+                if not end:
+                    text(page[at:])
+                    break
+                attributes = page[found.end() : end - 1]
+        else:
+            end = found.end()
+        text(page[at:start])
+        at = end
         if found[2] is None:
             if found[0].startswith("<![CDATA["):
                 text(found[0][9:-3] if found[0].endswith("]]>") else found[0][9:])
@@ -87,62 +157,59 @@ def leaf_blocks(page: str) -> list[Block]:
             if current is not None and tag == "br":
                 current.pieces.append(" ")
             continue
-        if tag in BLOCK_TAGS or tag in SKIPPED_TAGS and tag not in ("object",):
-            current = None if tag in BLOCK_TAGS else current
+        if tag in BLOCK_TAGS:
+            current = None
         if tag in VOID_TAGS:
             continue
         if not closing:
-            if tag in BLOCK_TAGS:
-                # an open paragraph ends here, with what is open inside it
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in CLOSED_BY_BLOCK or stack[i][0] == tag == "li":
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCK_TAGS:
-                        break
+            if tag in BLOCK_TAGS and block_at and ((nearest := stack[block_at[-1]].tag) == "p" or nearest == tag == "li"):
+                close(block_at[-1])  # an open paragraph or item ends here, with what is open inside it
             if tag in RAW_TAGS:
-                end = raw_end.setdefault(tag, re.compile(rf"</{tag}\b[^>]*>", re.I)).search(page, at)
-                at = end.end() if end else n
+                done = raw_end.setdefault(tag, re.compile(rf"</{tag}\b[^>]*>", re.I)).search(page, at)
+                at = done.end() if done else n
                 continue
-            marks: tuple = ()
-            if "=" in found[3]:
-                marks = tuple(w.lower() for m in MARK.findall(found[3]) for w in WORD.findall(m[0] or m[1] or m[2]))
-            hidden = "hidden" in found[3] or "none" in found[3]
-            if found[3].endswith("/") and tag not in BLOCK_TAGS:
+            if attributes.endswith("/") and tag not in BLOCK_TAGS:
                 continue
-            stack.append((tag if not (hidden and HIDDEN.search(found[3])) else "template", marks) if tag not in ("head",) else (tag, marks))
-            skip += stack[-1][0] in SKIPPED_TAGS
-        else:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag or stack[i][0] == "template" and i == len(stack) - 1:
-                    skip -= sum(t in SKIPPED_TAGS for t, _ in stack[i:])
-                    del stack[i:]
-                    break
-                if tag not in BLOCK_TAGS and stack[i][0] in BLOCK_TAGS:
-                    break
+            marks: tuple = ()
+            if "=" in attributes:
+                marks = tuple(w.lower() for m in MARK.findall(attributes) for w in WORD.findall(m[0] or m[1] or m[2]))
+            if ("hidden" in attributes or "none" in attributes) and hidden(attributes):
+                marks += ("(hidden)",)
+            if tag in BLOCK_TAGS:
+                block_at.append(len(stack))
+                scopes.append(Counter())
+                opened[tag] += 1
+            else:
+                scopes[-1][tag] += 1
+            stack.append(Node(stack[-1] if stack else None, tag, marks))
+            skip += tag in SKIPPED_TAGS
+        elif opened[tag] if tag in BLOCK_TAGS else scopes[-1][tag]:  # an inline tag ends one that was opened in the same block tag
+            to = len(stack) - 1
+            while stack[to].tag != tag:
+                to -= 1
+            close(to)
     for b in out:
         b.text = SPACE.sub(" ", "".join(b.pieces)).strip()
     return [b for b in out if b.text]
 
 
-def numbered(name: str) -> int:
-    return zlib.crc32(name.encode()) % FEATURES
+_NUMBERS: dict[str, int] = {}
 
 
-_NUMBERS: dict = {}
+def numbered(name: str) -> int:
+    """A feature's number; the names met are remembered, up to 20,000."""
+    if (found := _NUMBERS.get(name)) is None:
+        if len(_NUMBERS) > 20_000:
+            _NUMBERS.clear()
+        found = _NUMBERS[name] = zlib.crc32(name.encode("utf-8", "surrogatepass")) % FEATURES
+    return found
 
 
 def describe(blocks: list[Block]) -> list[list[int]]:
     """Indices of each block's binary features."""
     out = []
     for i, b in enumerate(blocks):
-        key = (b.tags, b.marks)
-        fixed = _NUMBERS.get(key)
-        if fixed is None:
-            if len(_NUMBERS) > 20_000:
-                _NUMBERS.clear()
-            names = {"bias"} | {f"in:{t}" for t in b.tags} | {f"mark:{w}" for w in b.marks} | {f"leaf:{b.tags[-1] if b.tags else ''}"}
-            fixed = _NUMBERS[key] = sorted({numbered(x) for x in names})
+        fixed = b.node.features() if b.node is not None else [numbered("bias"), numbered("leaf:")]
         size = len(b.text)
         words = b.text.count(" ") + 1
         ends = b.text.count(".") + b.text.count("!") + b.text.count("?")
@@ -336,8 +403,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text, n_chars of every page: the blocks decoded as content, joined by line feeds.
 
     White space in a block becomes one space; character references are decoded. A null or empty
-    page, and one without content, has the empty text. Repeated rows and null ids each get a row; other columns
-    are not read.
+    page, and one without content, has the empty text. A block that scores alike as either is boilerplate. Long pages, deep nesting and
+    tags without end take time in proportion to the page. What a browser shows only instead of something else (noscript, template, iframe, canvas,
+    video, audio) and form fields is no text; hidden elements, math and drawings are blocks like others. Repeated rows and null ids each get a row, a table
+    without rows gives none; other columns are not read.
     """
     known = pages.sparkSession.sparkContext.broadcast(model or trained())  # FEATURES rows
 

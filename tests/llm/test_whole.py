@@ -5,13 +5,14 @@ import math
 import random
 import re
 import re._parser
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, language_model, license_scan, near_dedup, packing, toxicity
+from tessera.llm import html_text, language_id, language_model, license_scan, near_dedup, packing, toxicity
 from tessera.llm.license_rules import rules
 
 
@@ -183,3 +184,23 @@ def test_near_duplicates_of_repeated_ids(spark):
     rows = [(1, long("a")), (1, long("b")), (1, long("b")), (2, long("b") + " end"), (3, long("c")), (None, long("c")), (4, None)]
     found = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert found == [(0, 36, 0, True), (1, 36, 1, True), (1, 36, 1, True), (1, 36, 1, True), (2, 37, 1, False), (3, 36, 3, True), (4, 0, 4, True)]
+
+
+def test_hostile_pages_take_linear_time():
+    n = 20_000
+    pages = ['<div class="a b">' * n + "deep", "<div>" * n + "x<p>y" * n, "<span>" * n + "</i>" * n + "t", "<div><i><div>" + "<span>" * n + "</i>" * n + "t", "<span>" * n + "<div>x</div>" * n, "<a " * n, '<a "' * n + ">", "<!" * n, "<p>" * n + "</p>" * n, "<ul>" + "<li>x" * n]
+    for page in pages:
+        began = time.time()
+        html_text.describe(html_text.leaf_blocks(page))
+        assert time.time() - began < 3, page[:30]
+
+
+def test_pages_keep_what_is_not_named(spark):
+    model = html_text.trained(160)
+    page = '<html><body><nav><a href=#>Home</a></nav><article><h1>Title of it</h1><p title="the hidden path" class="md hidden wide">One two three.<div hidden><p>A note.</div><p>Let <math><mi>x</mi> + <mi>y</mi></math> be it.<p>Last one here.</article></body>'
+    assert html_text.main_blocks(page, model) == ["Title of it", "One two three.", "A note.", "Let x + y be it.", "Last one here."]
+    long = "<article>" + "".join(f"<p>Sentence number {i} of many more.</p>" for i in range(20_000)) + "</article>"
+    assert len(html_text.main_blocks(long, model)) == 20_000
+    df = spark.createDataFrame([(1, "u", page, "clash", 3)], "page_id long, url string, html string, text string, n_chars long")
+    assert [r.n_chars for r in html_text.extract(df, model=model).collect()] == [len("Title of it One two three. A note. Let x + y be it. Last one here.")]
+    assert html_text.extract(df.where("false"), model=model).count() == 0
