@@ -15,12 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, level, level_floors
+from .common import drawn, keep
 
 WIDTH, CODES = 2, 16
 #: Weight of the error along the vector against that across it.
@@ -28,9 +27,9 @@ ETA = 4.0
 #: Vectors from which code words are learnt, at most (drawn by a hash of the id).
 TRAIN_ROWS, ROUNDS = 20_000, 8
 NEAREST = 20
-#: Candidates of a block that a query ranks exactly.
+#: Candidates that a query ranks exactly: the best of all by the estimate.
 RERANKED = 400
-CANDIDATE_BLOCK, QUERY_BLOCK = 16_384, 1024
+CANDIDATE_BLOCK, QUERY_BLOCK = 1 << 17, 2048
 
 
 class Quantiser:
@@ -110,21 +109,22 @@ class Quantiser:
         return (high[..., :, None] + low[..., None, :]).reshape(len(queries), self.spaces // 2, 256).astype(np.float32)
 
 
-def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, quantiser: Quantiser, k: int, reranked: int) -> Iterator[tuple]:
-    """For each query (id, ids of its nearest in this block, scores): table scan, then exact ranking."""
+def share(wanted: int, blocks: int) -> int:
+    """So many of one block hold all of the best ``wanted`` of its that many blocks (dealt by hashing), but for a chance below 1e-8."""
+    mean = wanted / blocks
+    return min(wanted, int(mean + 6 * mean**0.5 + 20))
+
+
+def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, codes: np.ndarray, quantiser: Quantiser, wanted: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query (id, ids of its best in this block, estimates), by table scan."""
     columns = np.ascontiguousarray(codes.T)
     for at in range(0, len(queries), 64):
-        for query_id, query, table in zip(query_ids[at:], queries[at : at + 64], quantiser.tables(queries[at : at + 64])):
+        for query_id, table in zip(query_ids[at:], quantiser.tables(queries[at : at + 64])):
             estimate = table[0][columns[0]]
             for row, column in zip(table[1:], columns[1:]):
                 estimate += row[column]
-            estimate[ids == query_id] = -np.inf
-            # all that tie with the last: copies of a vector have one estimate, and the smaller ids are wanted
-            least = np.partition(estimate, len(ids) - reranked)[len(ids) - reranked] if len(ids) > reranked else -np.inf
-            few = np.flatnonzero((estimate >= least) & (ids != query_id))
-            score = (vectors[few] * query).sum(1)
-            order = np.lexsort((ids[few], -score))[:k]
-            yield query_id, ids[few][order], score[order]
+            few = np.argpartition(estimate, len(ids) - wanted)[len(ids) - wanted :] if len(ids) > wanted else np.arange(len(ids))
+            yield query_id, ids[few], estimate[few]
 
 
 def usable(vector: str) -> Column:
@@ -134,48 +134,77 @@ def usable(vector: str) -> Column:
     return v.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, reranked: int = RERANKED) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, reranked: int = RERANKED, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that ``queries`` selects the k other rows of the largest inner product found.
 
     Scores are exact, in double precision; ties go to the smaller id. Vectors that are null, empty, all zero or have
-    null or non-finite components, and null ids, take no part; nor do vectors of another length than most.
-    Rows of one id count as that vector's own and aren't candidates for one another; repeated ones are taken once.
-    Without usable rows the result is empty.
+    null or non-finite components, and null ids, take no part. Vectors of different lengths don't meet: each length is an index of its own.
+    Every row but the query's own is a candidate, also one of the same id. A query id that is repeated is answered for each of its rows.
+    train_rows: code words are learnt from so many vectors at most, drawn by their hash. Without usable rows the result is empty; other columns are not read.
     """
-    rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"), F.size(vector_col).alias("dim"), level(6, id_col).alias("level"))
-    kinds = [tuple(r) for r in rows.groupBy("dim", "level").count().collect()]  # at most 41 for a length
-    if not kinds:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = max({d for d, _, _ in kinds}, key=lambda d: (sum(n for e, _, n in kinds if e == d), d))
-    mine = [(d, at, n) for d, at, n in kinds if d == dim]
-    floor, total = level_floors(mine, TRAIN_ROWS)[dim], sum(n for *_, n in mine)
-    rows = rows.where(F.col("dim") == dim)
-    sample = rows.where(F.col("level") >= floor).select("id", "v").toPandas().sort_values("id", kind="stable")  # TRAIN_ROWS
-    quantiser = vectors.sparkSession.sparkContext.broadcast(Quantiser(np.stack(sample.v.to_numpy())))
-    groups = -(-total // CANDIDATE_BLOCK)
-    asking = rows.where("asks").count()
-    query_groups = max(1, -(-asking // QUERY_BLOCK))
-    block = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+    spark = vectors.sparkSession
+    rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    rows = rows.withColumn("dim", F.size("v")).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
+    # of equal vectors the k + 1 smallest ids can be wanted; which are left is settled before the shuffle
+    few = rows.withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2", "dim").orderBy("id"))).where(F.col("n") <= k + 1)
+    classes = few.groupBy("h1", "h2", "dim").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v"))
+    asking = rows.where("asks").select("id", "h1", "h2", "dim")
+    classes = classes.join(asking.select("h1", "h2", "dim").distinct().withColumn("asks", F.lit(True)), ["h1", "h2", "dim"], "left")
+    classes = keep(classes.withColumn("asks", F.coalesce("asks", F.lit(False))).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    found = None
+    for dim, many, asked in sorted(tuple(r) for r in classes.groupBy("dim").agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).collect()):  # a row for each length
+        if asked:
+            one = searched(classes.where(F.col("dim") == dim), dim, many, asked, k, reranked, train_rows)
+            found = one if found is None else found.unionByName(one)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # of a class's answer each of its queries leaves out its own row
+    tops = found.join(classes.select("cls", "h1", "h2", "dim"), "cls")
+    own = F.expr("cast(array_position(transform(top, x -> x.own and x.vec_id = id), true) as int)")
+    mine = asking.join(tops, ["h1", "h2", "dim"]).withColumn("at", own)
+    left = F.expr(f"slice(filter(top, (x, i) -> i + 1 <> at), 1, {k})")
+    out = mine.select(F.col("id").alias("query_id"), F.posexplode(left).alias("rank", "x"))
+    return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+
+
+def searched(classes: DataFrame, dim: int, many: int, asking: int, k: int, reranked: int, train_rows: int) -> DataFrame:
+    """For each class that asks: cls, top (score, vec_id, own: whether it is of the class itself), the best k + 1 rows, the best first."""
+    sample = drawn(classes.select(F.col("dim").alias("group"), F.col("v").alias("text"), F.lit(1).alias("weight")), lambda _: train_rows, 6).toArrow().column("text")  # train_rows
+    sample = np.array(sorted(sample.to_pylist()), float)
+    quantiser = classes.sparkSession.sparkContext.broadcast(Quantiser(sample))
+    groups, query_groups = -(-many // CANDIDATE_BLOCK), -(-asking // QUERY_BLOCK)
+    wanted = share(reranked, groups)
+    block = lambda seed, n: F.pmod(F.xxhash64("cls", F.lit(seed)), F.lit(n)).cast("int")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, dim))
-            codes = quantiser.value.encode(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "v", "asks", "code"])
-
-    indexed = keep(rows.select("id", "v", "asks").mapInArrow(encode, "id long, v array<double>, asks boolean, code binary"), "codes")
-    candidates = indexed.withColumn("asks", F.lit(False)).withColumn("cb", block(7, groups)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))))
-    asked = indexed.where("asks").withColumn("qb", block(8, query_groups)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(*candidates.columns)
-
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["id", "asks"]).sort_values("id")
-        q, c = frame[frame["asks"]], frame[~frame["asks"]]
+            v = batch.column(1).flatten().to_numpy().reshape(-1, dim).astype(float)
+            codes = quantiser.value.encode(v) if len(v) else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], names=["cls", "code"])
+
+    kind = classes.schema["v"].dataType.simpleString()
+    codes = keep(classes.select("cls", "v").mapInArrow(encode, "cls long, code binary"), "codes")
+    candidates = codes.select("cls", "code", F.lit(None).cast(kind).alias("v"), block(7, groups).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))).alias("qb"))
+    asked = classes.where("asks").select("cls", F.lit(None).cast("binary").alias("code"), "v", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("cb"), block(8, query_groups).alias("qb"))
+
+    def scan(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cls")
+        q, c = (table.filter(table.column(x).is_valid()).combine_chunks() for x in ("v", "code"))
         if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        codes = np.stack([np.frombuffer(x, np.uint8) for x in c["code"]])
-        found = list(best(q["id"].to_numpy(), np.stack(q["v"].to_numpy()), c["id"].to_numpy(), np.stack(c["v"].to_numpy()), codes, quantiser.value, k, reranked))
-        return pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
-
-    met = candidates.unionByName(asked).groupBy("cb", "qb").applyInPandas(search, "query_id long, vec_id long, score double")
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            return pa.table({"cls": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "estimate": pa.array([], pa.float32())})
+        code = np.frombuffer(b"".join(c.column("code").to_pylist()), np.uint8).reshape(len(c), -1)
+        v = q.column("v").combine_chunks().flatten().to_numpy().reshape(len(q), dim).astype(float)
+        found = list(best(q.column("cls").to_numpy(), v, c.column("cls").to_numpy(), code, quantiser.value, wanted))
+        return pa.table({"cls": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "other": np.concatenate([f[1] for f in found]), "estimate": np.concatenate([f[2] for f in found]).astype(np.float32)})
+
+    met = candidates.unionByName(asked).groupBy("cb", "qb").applyInArrow(scan, "cls long, other long, estimate float")
+    few = met.withColumn("n", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("estimate"), "other"))).where(F.col("n") <= reranked).select("cls", "other")
+    few = keep(few, "few")
+    double = lambda x: F.col(x).cast("array<double>")
+    near = few.join(classes.select(F.col("cls").alias("other"), double("v").alias("w"), "ids"), "other").join(classes.select("cls", double("v").alias("v")), "cls")
+    exact = near.select("cls", "other", "ids", F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x).alias("score"))
+    # k + 1 classes hold the best k + 1 rows
+    ranked = exact.withColumn("n", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("score"), F.col("ids")[0]))).where(F.col("n") <= k + 1)
+    each = ranked.withColumn("vec_id", F.explode("ids")).select("cls", F.struct((-F.col("score")).alias("less"), "vec_id", (F.col("cls") == F.col("other")).alias("own")).alias("x"))
+    top = F.transform(F.slice(F.sort_array(F.collect_list("x")), 1, k + 1), lambda x: F.struct((-x["less"]).alias("score"), x["vec_id"].alias("vec_id"), x["own"].alias("own")))
+    return each.groupBy("cls").agg(top.alias("top"))  # (k + 1)**2 rows at most in each

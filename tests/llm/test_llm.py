@@ -2,6 +2,7 @@ import itertools
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -190,24 +191,31 @@ def test_mixing_through_the_tree(spark, monkeypatch):
     assert found.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
 
 
-def test_vector_search(spark):
+@pytest.mark.parametrize("blocks", [(1 << 17, 2048, 400), (128, 7, 100)])
+def test_vector_search(spark, monkeypatch, blocks):
+    monkeypatch.setattr(vector_search, "CANDIDATE_BLOCK", blocks[0])
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", blocks[1])
     g = np.random.default_rng(1)
     vectors = g.normal(size=(900, 17))
-    vectors[100:140] = vectors[100]
-    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(2000, None), (2020, [0.0] * 17), (2040, [math.nan] + [1.0] * 16), (2060, [1.0]), (None, vectors[0].tolist()), (5, vectors[5].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors[100:160] = vectors[100]  # ties, among them queries
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(2000, None), (2020, [0.0] * 17), (2040, [math.nan] + [1.0] * 16), (2060, [1.0]), (2061, [3.0]), (None, vectors[0].tolist()), (5, vectors[5].tolist()), (5, vectors[20].tolist()), (40, (-vectors[40]).tolist())]
+    df = spark.createDataFrame([(*r, 1, "x", 0) for r in rows], "vec_id long, embedding array<double>, rank int, code string, asks int")
     found: dict = {}
-    for r in vector_search.nearest(df, F.col("vec_id") % 20 == 0).collect():
+    for r in vector_search.nearest(df, F.col("vec_id") % 20 == 0, reranked=blocks[2]).collect():
         found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    assert sorted(found) == list(range(0, 900, 20))
+    assert found.pop(2060) == [(1, 2061, 3.0)] and len(found.pop(40)) == 40 and sorted([*found, 40]) == list(range(0, 900, 20))
+    table = [(i, np.array(v)) for i, v in rows if i is not None and v and len(v) == 17 and np.isfinite(v).all() and any(v)]
+    ids, matrix = np.array([i for i, _ in table]), np.stack([v for _, v in table])
     hits = 0
     for q, top in found.items():
-        score = vectors @ vectors[q]
-        score[q] = -np.inf
-        best = np.lexsort((np.arange(900), -score))[:20]
+        score = matrix @ vectors[q]
+        score[q] = -np.inf  # its own row
+        order = np.lexsort((ids, -np.round(score, 9)))[:20]
         top.sort()
-        assert [t[0] for t in top] == list(range(1, 21)) and all(abs(s - score[v]) < 1e-9 for _, v, s in top)
-        hits += len(set(best.tolist()) & {v for _, v, _ in top})
+        assert [t[0] for t in top] == list(range(1, 21)) and [t[1:] for t in top] == sorted((t[1:] for t in top), key=lambda t: (-t[1], t[0]))
+        want = list(zip(ids[order].tolist(), np.round(score[order], 9).tolist()))
+        hits += sum(min(want.count(x), n) for x, n in Counter((i, round(s, 9)) for _, i, s in top).items())
+        assert all(any(abs(score[j] - s) < 1e-9 for j in np.flatnonzero(ids == i)) for _, i, s in top)
     assert hits / (20 * len(found)) >= 0.9
     assert vector_search.nearest(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
