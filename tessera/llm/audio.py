@@ -8,15 +8,16 @@ tell whether they are the same sound.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, tidy
+from .common import keep, numbered, tidy
 
 RATE, FRAME, HOP, PITCHES = 5512, 1024, 256, 12
 #: Frames that a filter spans at most.
@@ -26,6 +27,8 @@ FILTERS = tuple((k, p, h, w) for k, p, h, w in ((0, 0, 6, 8), (1, 0, 12, 4), (2,
 LOW, HIGH = -0.25, 0.25
 #: Votes and bits' error rate up to which an alignment counts.
 LEAST_VOTES, MOST_ERROR = 3, 0.25
+#: Places of one key that a task holds; keys with more are looked up in a broadcast table if there are no more than so many of them.
+BLOCK, MOST_COMMON = 1024, 500_000
 
 
 def chroma(samples: np.ndarray) -> np.ndarray:
@@ -92,18 +95,32 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
     return media.select(F.col(id_col).alias("id"), audio_col).mapInArrow(tidy(run), schema)
 
 
+def voters(prints: DataFrame, name: str, at: str) -> DataFrame:
+    """The id (as ``name``), place (``at``) and key of each place that votes: neighbouring integers, the first of a run of equal ones."""
+    first = "i = 0 or prints[i - 1] <> prints[i] or prints[i] <> prints[i + 1]"
+    keys = F.expr(f"if(size(prints) > 1, transform(filter(sequence(0, size(prints) - 2), i -> {first}), i -> struct(i as t, shiftleft(prints[i], 32) | prints[i + 1] as key)), array())")
+    return prints.select(F.col("id").alias(name), F.explode(keys).alias("x")).select(name, F.col("x.t").alias(at), "x.key")
+
+
 def align(queries: DataFrame, library: DataFrame) -> DataFrame:
     """For each query its best recording: query_id, match_id, offset (of the query in it, in frames), votes, overlap, bit_error.
 
-    Both as from ``fingerprints``. Integers vote as pairs of neighbours, which few recordings share by chance. The
-    best has the lowest bit error among the offsets with LEAST_VOTES votes or more, ties to more votes and the smaller id; without one,
-    or at an error above MOST_ERROR, the match is null. A recording doesn't match the query of its own id.
+    Both as from ``fingerprints``, with ids of which none is null or repeated. Integers vote as pairs of neighbours, which few recordings share by chance; a run
+    of equal pairs (silence, a steady note) votes once, by its start, so what never changes matches nothing. The
+    best has the lowest bit error among the offsets with LEAST_VOTES votes or more, ties to more votes, the smaller id and the smaller offset; without one,
+    or at an error above MOST_ERROR, the match is null. Recordings of equal prints are compared once, and the smallest id stands for them. A recording in both
+    can match itself. Every query gets a row, without a library too.
     """
-    pair = "transform(sequence(0, size(prints) - 2), i -> shiftleft(prints[i], 32) | prints[i + 1])"
-    keys = F.expr(f"if(size(prints) > 1, {pair}, array())")
-    asked = queries.select(F.col("id").alias("query_id"), F.posexplode(keys).alias("qt", "key"))
-    known = library.select(F.col("id").alias("match_id"), F.posexplode(keys).alias("mt", "key"))
-    votes = asked.join(known, (asked["key"] == known["key"]) & (F.col("query_id") != F.col("match_id"))).groupBy("query_id", "match_id", (F.col("mt") - F.col("qt")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= LEAST_VOTES)
+    spark = library.sparkSession
+    alike = library.where("size(prints) > 1").groupBy(F.xxhash64("prints").alias("h1"), F.xxhash64(F.lit(1), "prints").alias("h2")).agg(F.min("id").alias("id"))
+    library = library.join(alike.select("id"), "id", "left_semi")
+    known, asked = keep(voters(library, "match_id", "mt"), "keys"), voters(queries, "query_id", "qt")
+    # a key that many recordings hold is dealt in blocks
+    common = keep(known.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "common")
+    common = F.broadcast(common) if common.count() <= MOST_COMMON else common
+    known = known.join(common, "key", "left").withColumn("block", F.pmod(F.xxhash64("match_id"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+    asked = asked.join(common, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    votes = keep(asked.join(known, ["key", "block"]).groupBy("query_id", "match_id", (F.col("mt") - F.col("qt")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= LEAST_VOTES), "votes")
     q, m = queries.select(F.col("id").alias("query_id"), F.col("prints").alias("q")), library.select(F.col("id").alias("match_id"), F.col("prints").alias("m"))
     over = votes.join(q, "query_id").join(m, "match_id")
     first, last = "greatest(0, -offset)", "least(size(q), size(m) - offset)"
@@ -112,7 +129,7 @@ def align(queries: DataFrame, library: DataFrame) -> DataFrame:
     scored = over.withColumn("bit_error", bits / (32.0 * F.col("overlap"))).select("query_id", "match_id", "offset", "votes", "overlap", "bit_error").where(F.col("bit_error") <= MOST_ERROR)
     best = scored.groupBy("query_id").agg(F.min(F.struct("bit_error", (-F.col("votes")).alias("less"), "match_id", "offset", "overlap")).alias("x"))
     found = best.select("query_id", "x.match_id", F.col("x.offset").cast("int").alias("offset"), (-F.col("x.less")).alias("votes"), "x.overlap", "x.bit_error")
-    return queries.select(F.col("id").alias("query_id")).distinct().join(found, "query_id", "left")
+    return queries.select(F.col("id").alias("query_id")).join(found, "query_id", "left")
 
 
 def tune(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", note: float = 0.125, excerpts: bool = False) -> DataFrame:
@@ -128,7 +145,7 @@ def tune(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 rows, out = batch.slice(at, 64), []
-                for i, v in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                for v in rows.column(1).to_pylist():
                     if v is None:
                         out.append(None)
                         continue
@@ -137,7 +154,7 @@ def tune(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
                     sound = np.concatenate([fade * (np.sin(2 * np.pi * 220 * 2 ** (s / 12) * t) + 0.4 * np.sin(2 * np.pi * 220 * 2 ** ((s + 7) / 12) * t)) for s in steps] or [np.zeros(0)])
                     if excerpts:
                         low, high = len(sound) // 4 // HOP * HOP, 3 * len(sound) // 4
-                        sound = 0.6 * sound[low:high] + 0.002 * np.random.default_rng(abs(int(i)) if i is not None else 0).standard_normal(max(0, high - low))
+                        sound = 0.6 * sound[low:high] + 0.002 * np.random.default_rng(zlib.crc32(steps.tobytes())).standard_normal(max(0, high - low))
                     out.append(sound.astype(np.float32))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out, pa.list_(pa.float32()))], names=["id", "audio"])
 
@@ -146,11 +163,19 @@ def tune(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
 
 
 def recognise(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20) -> DataFrame:
-    """Every recording's fingerprint, and for ids divisible by ``every`` the alignment of a noisy excerpt with the whole library."""
-    library = keep(fingerprints(tune(vectors, id_col, vector_col), "id", "audio"), "prints")
-    asked = vectors.where(F.col(id_col) % every == 0)
-    # an excerpt has an id of its own, so that it may match its source
-    queries = keep(fingerprints(tune(asked, id_col, vector_col, excerpts=True), "id", "audio").withColumn("id", -F.col("id") - 1), "excerpts")
-    found = align(queries, library).withColumn("source", -F.col("query_id") - 1)
-    one = library.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("prints")))
-    return one.join(found, one["id"] == found["source"], "left").select(F.col("id"), F.size("prints").cast("long").alias("n_prints"), F.crc32(F.array_join("prints", ",").cast("binary")).alias("prints_crc32"), "match_id", "offset", "votes", "overlap", "bit_error")
+    """id, n_prints, prints_crc32 of every recording, and for ids divisible by ``every`` the alignment of a noisy excerpt with the whole library.
+
+    match_id, offset, votes, overlap, bit_error as from ``align``; null for rows that ask nothing or match nothing. Each row is a recording of its own: repeated ids and rows
+    each get theirs, rows without id are in the library but are named null, null and empty vectors have no prints. Of equal recordings the one of the smallest id is named
+    (null last). No row: no result; other columns are not read.
+    """
+    ids = vectors.select(F.col(id_col).alias("own_id"), F.col(vector_col).alias("v"))
+    # numbered in the order of ids, so that the smallest row is the smallest id
+    rows = numbered(ids, [F.col("own_id").asc_nulls_last(), F.xxhash64("v")], "recordings", "id")
+    library = keep(fingerprints(tune(rows, "id", "v"), "id", "audio"), "prints")
+    queries = keep(fingerprints(tune(rows.where(F.col("own_id") % every == 0), "id", "v", excerpts=True), "id", "audio"), "excerpts")
+    found = align(queries, library)
+    names = rows.select("id", "own_id")
+    found = found.join(names.select(F.col("id").alias("match_id"), F.col("own_id").alias("named")), "match_id", "left")
+    one = library.join(names, "id").join(found, library["id"] == found["query_id"], "left")
+    return one.select(F.col("own_id").alias("id"), F.size("prints").cast("long").alias("n_prints"), F.crc32(F.array_join("prints", ",").cast("binary")).alias("prints_crc32"), F.col("named").alias("match_id"), "offset", "votes", "overlap", "bit_error")

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, numbered
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Rows that one task of the first level rounds together, and groups that meet in one of the next.
@@ -28,21 +28,6 @@ GROUP_ROWS, FAN_IN = 4096, 64
 EPS = 1e-12
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str, at: str) -> DataFrame:
-    """The rows, kept, with their place (from 0) in this order as column ``at``; equal rows follow each other in any order."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tied = rows.withColumn("_tie", F.monotonically_increasing_id())
-    laid = tied.repartitionByRange(parts, *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie").withColumn(at, F.monotonically_increasing_id())
-    out = keep(laid, name)
-    part = F.shiftright(at, 33)
-    offsets, before = [], 0
-    for p, n in sorted(tuple(r) for r in out.groupBy(part.alias("_part")).count().collect()):  # a row for each partition
-        offsets.append((p, before - (p << 33)))
-        before += n
-    table = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_part2 long, _offset long"))
-    return out.join(table, part == F.col("_part2")).withColumn(at, F.col(at) + F.col("_offset")).drop("_part2", "_offset")
-
-
 def targets(rows: DataFrame) -> DataFrame:
     """From kept rows (source, size, place): a row for each source: source, source_size, target, rate, first and last place.
 

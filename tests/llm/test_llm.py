@@ -239,10 +239,50 @@ def test_language_model(docs, empty):
 
 def test_audio(spark):
     g = np.random.default_rng(3)
-    df = spark.createDataFrame([(i, g.normal(size=64).tolist()) for i in range(60)] + [(100, None), (None, [1.0] * 64), (120, [])], "vec_id long, embedding array<double>")
-    rows = {r.id: r for r in audio.recognise(df).collect()}
-    assert len(rows) == 63 and all(rows[i].match_id == i and rows[i].bit_error < 0.2 for i in (0, 20, 40))
-    assert rows[100].n_prints == 0 and rows[100].match_id is None and rows[1].match_id is None
+    rows = [(i, g.normal(size=64).tolist()) for i in range(60)] + [(100, None), (None, [1.0] * 64), (120, []), (-20, g.normal(size=64).tolist())]
+    rows += [(140, rows[7][1]), (160, g.normal(size=64).tolist()), (160, g.normal(size=64).tolist())]  # the sound of 7; one id with two sounds
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "vec_id long, embedding array<double>, prints string, key int")
+    out = audio.recognise(df).collect()
+    found = {r.id: r for r in out}
+    assert len(out) == len(rows) and all(found[i].match_id == i and found[i].bit_error < 0.2 for i in (0, 20, 40, -20, 160))
+    assert found[140].match_id == 7 and found[100].n_prints == 0 and found[100].match_id is None and found[1].match_id is None
+    assert audio.recognise(df.where("false")).count() == 0
+
+
+def test_audio_alignment_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(audio, "BLOCK", 4)
+    g = np.random.default_rng(9)
+    library = [(i, g.integers(0, 6, 40).tolist()) for i in range(30)] + [(30 + i, [5] * (30 + i)) for i in range(20)] + [(60, [])]
+    library += [(70 + i, [*library[i][1][10:], *g.integers(0, 6, 9).tolist()]) for i in range(10)] + [(90 + i, library[3][1]) for i in range(8)]
+    queries = [(i, library[i][1][5:30]) for i in range(12)] + [(200, [5] * 25), (201, []), (202, g.integers(100, 200, 30).tolist()), (203, library[3][1])]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, prints array<long>")
+    found = {r.query_id: r for r in audio.align(frame(queries), frame(library)).collect()}
+    keys = lambda p: [(i, (p[i], p[i + 1])) for i in range(len(p) - 1) if i == 0 or (p[i - 1], p[i]) != (p[i], p[i + 1])]
+    assert len(found) == len(queries)
+    for q, p in queries:
+        best = []
+        for m, r in library:
+            votes = Counter(j - i for i, a in keys(p) for j, b in keys(r) if a == b)
+            for offset, n in votes.items():
+                over = range(max(0, -offset), min(len(p), len(r) - offset))
+                error = sum(int(p[i] ^ r[i + offset]).bit_count() for i in over) / (32 * max(1, len(over)))
+                if n >= audio.LEAST_VOTES and error <= audio.MOST_ERROR:
+                    best.append((error, -n, m, offset, len(over)))
+        got = found[q]
+        assert ((got.bit_error, -got.votes, got.match_id, got.offset, got.overlap) if got.match_id is not None else None) == (min(best) if best else None)
+
+
+def test_fingerprints_match_sums_over_frames():
+    """The integral image's areas against plain sums."""
+    sound = np.random.default_rng(1).normal(size=8000)
+    frames, prints = audio.chroma(sound), audio.fingerprint(sound)
+    kind, p, h, w = audio.FILTERS[0]
+    assert kind == 0 and len(prints) == len(frames) - audio.SPAN + 1
+    for i in range(len(prints)):
+        x = 2 * math.log((1 + frames[i : i + w, p + h // 2 : p + h].sum()) / (1 + frames[i : i + w, p : p + h // 2].sum()))
+        level = (x > audio.LOW) + (x > 0) + (x > audio.HIGH)
+        assert int(prints[i]) >> 30 == level ^ level >> 1
+    assert (audio.fingerprint(np.zeros(8000)) == audio.fingerprint(np.zeros(8000))[0]).all()
 
 
 def test_toxicity(docs, empty):
