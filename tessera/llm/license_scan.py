@@ -101,7 +101,7 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def sql() -> str:
-    """The same in DuckDB SQL, place by place; but a rule is searched only where its own keyword is a word, not one of ``JOINED``."""
+    """The same in DuckDB SQL, place by place, every rule searched in every text: there is no prefilter."""
     q = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({q(a)}, {p}, {q(k)}, {q(pat)}, {str(b).lower()}, {i})" for i, (a, p, k, pat, b) in enumerate(table()))
     words_in = "(length({0}) - length(replace({0}, ' ', ''))) // 2"
@@ -109,7 +109,7 @@ def sql() -> str:
 with rules(label, priority, keyword, pattern, base, rule) as (values {values}),
 t as (select doc_id, trim(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SEPARATORS}', '  ', 'g'), ' ') as bare from documents),
 u as (select doc_id, bare, ' ' || bare || ' ' as laid, string_split(bare, '  ') as words, row_number() over (order by doc_id) as n from t),
-m as (select n, r.*, regexp_extract_all(laid, pattern) as matches, string_split_regex(laid, pattern) as pieces from u join rules r on list_contains(words, keyword)),
+m as (select n, r.*, regexp_extract_all(laid, pattern) as matches, string_split_regex(laid, pattern) as pieces from u join rules r on regexp_matches(laid, pattern)),
 p as (select n, label, priority, base, rule, matches, pieces, unnest(range(1, len(matches) + 1)) as j from m),
 d as (select n, label, priority, base, rule,
     list_sum(list_transform(pieces[1:j], lambda x: {words_in.format('x')})) + coalesce(list_sum(list_transform(matches[1:j-1], lambda x: {words_in.format('x')})), 0) as start,
