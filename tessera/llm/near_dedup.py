@@ -201,9 +201,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     masks = [~(((1 << BITS) - 1) << (i * (BITS + 1))) for i in range(LANES)]
     keys = F.array(*(F.xxhash64(F.lit(c * LANES + i), F.col(f"s{c}").bitwiseAND(F.lit(m))) for c in range(CHUNKS) for i, m in enumerate(masks)))
-    members = classes.select("cls", F.explode(keys).alias("key"))
-    leaders = keep(members.groupBy("key").agg(F.min("cls").alias("leader"), F.count("*").alias("many")).where("many > 1").select("key", "leader"), "leaders")
-    met = keep(members.join(leaders, "key"), "met")  # members of keys that are not alone
+    members = classes.select("cls", "rep", F.explode(keys).alias("key"))
+    leaders = keep(members.groupBy("key").agg(F.min_by("cls", F.struct("rep", "cls")).alias("leader"), F.count("*").alias("many")).where("many > 1").select("key", "leader"), "leaders")
+    met = keep(members.drop("rep").join(leaders, "key"), "met")  # members of keys that are not alone
     known = classes.select("cls", "n", *SKETCH)
     near = lambda pairs: pairs.join(known.alias("a"), F.col("p.a") == F.col("a.cls")).join(known.alias("b"), F.col("p.b") == F.col("b.cls")).where(reachable(percent)).select("p.a", "p.b")
     first = keep(near(met.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct().alias("p")), "pairs")
