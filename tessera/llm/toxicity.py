@@ -32,6 +32,8 @@ START = 20_000
 SMOOTH, PENALTY, STEPS, SLACK = 1.0, 2e-4, 300, 1.05
 #: Characters that are hashed at once.
 WINDOW = 1 << 19
+#: Flags (texts by features) that are set in place of sorting, at most.
+FLAGS = 1 << 25
 _LOWER: list[np.ndarray] = []
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,15 +46,19 @@ def lowered(chars: np.ndarray) -> np.ndarray:
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct (row, bucket) of each block of rows. wanted: of these buckets only."""
+    """Distinct (row, bucket) of each block of rows, ascending. wanted: of these buckets only."""
     bits = np.uint64(BUCKETS.bit_length() - 1)
+    if wanted is not None:
+        place, buckets_of = np.cumsum(wanted) - 1, np.flatnonzero(wanted)
     for first, last in blocks(offsets, 1 << 20):
         chars = lowered(np.frombuffer(raw[offsets[first] : offsets[last]].tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32))
         starts = raw[offsets[first] : offsets[last]] & 0xC0 != 0x80
         ends = np.concatenate([[0], np.cumsum(starts)])[offsets[first : last + 1] - offsets[first]]
         ends[-1] = len(chars)
         rows = np.repeat(np.arange(first, last), np.diff(ends))
-        found = []
+        found, met = [], None
+        if wanted is not None and (last - first) * len(buckets_of) <= FLAGS:
+            met = np.zeros((last - first) * len(buckets_of), bool)  # faster than sorting, where the features are few
         for at in range(0, len(chars), WINDOW):  # windows that overlap by one n-gram
             c, r = chars[at : at + WINDOW + max(SIZES) - 1], rows[at : at + WINDOW + max(SIZES) - 1]
             for n in SIZES:
@@ -66,9 +72,17 @@ def features(raw: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = N
                 own = r[: len(h)] == r[n - 1 : n - 1 + len(h)]
                 if wanted is not None:
                     own &= wanted[bucket]
-                found.append(np.unique(r[: len(h)][own] * BUCKETS + bucket[own]))
-        keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        yield keys // BUCKETS, keys % BUCKETS
+                if met is not None:
+                    own = np.flatnonzero(own)
+                    met[(r[own] - first) * len(buckets_of) + place[bucket[own]]] = True
+                else:
+                    found.append(np.unique(r[: len(h)][own] * BUCKETS + bucket[own]))
+        if met is not None:
+            keys = np.flatnonzero(met)
+            yield (keys // max(1, len(buckets_of)) + first, buckets_of[keys % max(1, len(buckets_of))]) if len(keys) else (keys, keys)
+        else:
+            keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            yield keys // BUCKETS, keys % BUCKETS
 
 
 def fit(rows: np.ndarray, buckets: np.ndarray, label: np.ndarray, ratio: np.ndarray, before: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float]:
