@@ -50,7 +50,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it (not at all, once or twice), copies in different places."""
     rows = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    copies = mixing.mix(rows, id_col="_row").where("copies > 0").select(F.col("doc_id").alias("_row"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
+    copies = mixing.mix(rows, id_col="_row").where("copies > 0").select(F.col("doc_id").alias("_row"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).hint("merge")  # small as a file, but not bounded
     return rows.join(copies, "_row").sortWithinPartitions(F.xxhash64("_row", "_copy")).select(docs.columns)
 
 
