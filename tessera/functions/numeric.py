@@ -181,6 +181,20 @@ def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     return out
 
 
+def percentiles(df: DataFrame, column: str, shares: list[float]) -> list[float] | None:
+    """Values at these shares of the way through the sorted values, between two in proportion. Counts by value are ranked in ranges, so no task holds all."""
+    values = df.select(F.col(column).alias("v")).dropna()
+    counts = below(values.groupBy("v").agg(F.count("*").alias("n")), "v", "n")
+    n = values.count()
+    if not n:
+        return None
+    places = [(n - 1) * q for q in shares]
+    hit = F.array(*(F.lit(a) for a in sorted({f(x) for x in places for f in (math.floor, math.ceil)})))
+    rows = counts.where(F.exists(hit, lambda a: (a >= F.col("_below")) & (a < F.col("_below") + F.col("n")))).select("v", "_below", "n").collect()  # two for each share at most
+    at = lambda a: next(x.v for x in rows if x._below <= a < x._below + x.n)
+    return [at(math.floor(x)) + (x - math.floor(x)) * (at(math.ceil(x)) - at(math.floor(x))) for x in places]
+
+
 def bucket(c: Column, edges: list[float]) -> Column:
     """The first i with value <= edges[i + 1], else the last."""
     out = F.lit(len(edges) - 2)

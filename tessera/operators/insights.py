@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import Moments, bucket, complete, permissive, quantile_edges, r
+from ..functions.numeric import bucket, complete, permissive, quantile_edges, r
 from .statistics import numeric_columns
 
 
@@ -49,40 +49,56 @@ def regimes(df: DataFrame, driver: str, target: str, bins: int = 6, threshold: f
     return [x for x in out if x["jump_z"] >= threshold]
 
 
-def divergence(df: DataFrame, target: str, context: list[str], bins: int = 4) -> list[dict]:
-    """For each bucket of the target the mean relative spread of the context columns, widest first."""
+def divergence(df: DataFrame, target: str, context: list[str], bins: int = 4, least_rows: int = 10, least_values: int = 5) -> list[dict]:
+    """For each bucket of the target the mean spread of the context columns, relative to their means there, widest first.
+
+    Buckets of fewer rows and columns of fewer values in a bucket are left out; a mean of almost 0 counts as 1.
+    """
     values = df.select(permissive(df, target).alias("t"), *(permissive(df, c).alias(c) for c in context)).where("t is not null")
     edges = quantile_edges(values, "t", bins)
     if len(edges) < 2:
         return []
-    rows = values.groupBy(bucket(F.col("t"), edges).alias("b")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"), *(e for c in context for e in (F.min(c), F.max(c), F.avg(c)))).collect()
-    out = []
-    for x in rows:
-        spreads = [(x[4 + 3 * i + 1] - x[4 + 3 * i]) / abs(x[4 + 3 * i + 2]) for i in range(len(context)) if x[4 + 3 * i + 2]]
-        out.append({"target_quantile_bucket": x.b, "target_range": [x.lo, x.hi], "rows": x.n, "latent_spread_score": r(sum(spreads) / len(spreads), 4) if spreads else 0.0})
-    return sorted(out, key=lambda x: (-x["latent_spread_score"], x["target_quantile_bucket"]))
-
-
-def counterfactual(fit: dict, goal: str = "maximize", target_value: float | None = None) -> dict:
-    up = (fit["slope"] >= 0) == (goal != "minimize")
-    out = {"driver": fit["driver"], "direction": "increase" if up else "decrease"}
-    if target_value is not None and fit["slope"]:
-        out["required_driver_value"] = r((target_value - fit["intercept"]) / fit["slope"], 4)
+    spread = lambda c: F.when(F.count(c) >= least_values, (F.max(c) - F.min(c)) / F.when(F.abs(F.avg(c)) < 1e-12, 1.0).otherwise(F.abs(F.avg(c))))
+    rows = values.groupBy(bucket(F.col("t"), edges).alias("b")).agg(F.count("*").alias("n"), F.array_compact(F.array(*map(spread, context))).alias("spreads")).orderBy("b").collect()  # a row for each bucket
+    out = [{"target_quantile_bucket": x.b, "target_range": [r(edges[x.b], 6), r(edges[x.b + 1], 6)], "rows": x.n, "latent_spread_score": r(sum(x.spreads) / len(x.spreads), 6)} for x in rows if x.n >= least_rows and x.spreads]
+    return sorted(out, key=lambda x: -x["latent_spread_score"])
+
+
+def counterfactual(df: DataFrame, fit: dict, goal: str = "maximize", target_value: float | None = None) -> dict:
+    """What the fitted law suggests to do with the driver, and the value of it at which the target would be reached."""
+    slope, intercept, driver, target = fit["slope"], fit["intercept"], fit["driver"], fit["target"]
+    up = slope < 0 if goal == "minimize" else slope > 0
+    out = {
+        "driver": driver,
+        "target": target,
+        "law": {"formula": f"{target} ≈ {slope:.6f} * {driver} + {intercept:.6f}", "r2": r(fit["r2"], 4), "corr": r(fit["corr"], 4)},
+        "suggested_action": {"goal": goal, "driver_direction": "increase" if up else "decrease", "rationale": "the sign of the fitted slope and the goal give the direction"},
+    }
+    if target_value is not None and abs(slope) > 1e-9:
+        now, mean, n = df.agg(F.avg(permissive(df, target)), F.coalesce(F.avg(permissive(df, driver)), F.lit(0.0)), F.count(permissive(df, target))).first()
+        if n:
+            needed = (target_value - intercept) / slope
+            out["reach_value_estimate"] = {"current_target_mean": r(now, 6), "desired_target_value": r(target_value, 6), "required_driver_value": r(needed, 6), "delta_driver_from_mean": r(needed - mean, 6)}
     return out
 
 
-def insights(df: DataFrame, target: str | None = None, goal: str = "maximize", target_value: float | None = None, top: int = 10) -> dict:
+def insights(df: DataFrame, target: str | None = None, goal: str = "maximize", target_value: float | None = None, top: int = 10, driver_limit: int = 20, context_limit: int = 6) -> dict:
+    """The whole chain for one target (the first numeric column if none or another is named)."""
     numbers = numeric_columns(df)
-    target = target or (numbers[0] if numbers else None)
-    if target is None or Moments(complete(df, [target]), {target: F.col(target)}).n < 30:
+    if not numbers:
+        return {"error": "no numeric column"}
+    target = target if target in numbers else numbers[0]
+    if df.select(F.count(permissive(df, target))).first()[0] < 30:
         return {"error": "at least 30 numbers in the target"}
-    fit = best_driver(df, target)
+    others, limit = [c for c in numbers if c != target], max(top, 1)
+    fit = best_driver(df, target, others[:driver_limit], 30)
     if "error" in fit:
         return fit
     found = surprises(df, fit["driver"], target, top, fit).collect() if "_row_id" in df.columns else []
+    digits = {"slope": 6, "intercept": 6, "r2": 4, "corr": 4}
     return {
         "objective": {"target": target, "goal": goal, "target_value": target_value},
-        "discovered_law": {k: r(v, 6) if isinstance(v, float) else v for k, v in fit.items()},
-        "insights": {"surprises": [{k: r(v, 4) if isinstance(v, float) else v for k, v in x.asDict().items()} for x in found], "regime_boundaries": regimes(df, fit["driver"], target), "branch_divergence": divergence(df, target, [c for c in numbers if c not in (target, fit["driver"])][:6]), "counterfactual": counterfactual(fit, goal, target_value)},
-        "method_notes": ["one-driver linear law", "quantile regimes", "bucket spread"],
+        "discovered_law": {k: r(v, digits[k]) if k in digits else v for k, v in fit.items()},
+        "insights": {"surprises": [{k: r(v, 4) if isinstance(v, float) else v for k, v in x.asDict().items()} for x in found], "regime_boundaries": regimes(df, fit["driver"], target)[:limit], "branch_divergence": divergence(df, target, others[:context_limit])[:limit], "counterfactual": counterfactual(df, fit, goal, target_value)},
+        "method_notes": ["one-driver linear law", "regimes from quantiles and jumps", "spread of other columns within buckets of the target"],
     }

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import NUMERIC, finite, permissive, rounded, to_float
+from ..functions.numeric import NUMERIC, below, finite, permissive, rounded, to_float
 
 FUNCTIONS = ("sum", "mean", "median", "min", "max", "std", "count", "count_distinct")
 OPERATORS = ("=", "!=", ">", "<", ">=", "<=", "contains", "in", "not_in")
@@ -41,6 +41,8 @@ def leaf(df: DataFrame, column: str, op: str, value: object) -> Column:
         return c.eqNullSafe(literal(value))
     if op == "!=":
         return ~c.eqNullSafe(literal(value))
+    if op == "contains" and numeric:  # the texts of both as doubles: 15.0 holds 5.0 and not 1
+        return F.coalesce(F.contains(c.cast("string"), literal(value).cast("string")), F.lit(False))
     if op == "contains":
         return F.coalesce(F.contains(F.lower(c.cast("string")), F.lower(F.lit(str(value)))), F.lit(False))
     if op in ("in", "not_in"):
@@ -68,17 +70,22 @@ def predicate(df: DataFrame, clause: dict, depth: int = 0, max_clauses: int | No
     return leaf(df, clause["column"], clause.get("op", "="), clause.get("value"))
 
 
+def plain_number(value: object) -> float | None:
+    """A number or a text that is one as it stands."""
+    try:
+        return float(str(value)) if "_" not in str(value) and not isinstance(value, bool) else None
+    except ValueError:
+        return None
+
+
 def filter_by_condition(df: DataFrame, column: str, op: str, value: object) -> DataFrame:
-    """One comparison that drops nulls; numeric with a tolerance of 1e-9 if both sides are numbers."""
-    number, c = to_float(value), F.col(f"`{column}`")
-    if number is not None:
-        v, x = permissive(df, column), F.lit(number)
-        near = F.abs(v - x) < 1e-9
-        as_number = {"=": near, "!=": ~near, ">": v > x, "<": v < x, ">=": v >= x, "<=": v <= x}[op]
-    else:
-        v, as_number = F.lit(None).cast("double"), F.lit(False)
-    text = c.cast("string") == str(value) if op == "=" else c.cast("string") != str(value) if op == "!=" else F.lit(False)
-    return df.where(c.isNotNull() & F.when(v.isNotNull(), as_number).otherwise(text))
+    """One comparison that drops nulls; numeric, equal within 1e-9, if both sides are numbers as they stand ("$1,000" isn't), else by text."""
+    number, text = plain_number(value), F.col(f"`{column}`").cast("string")
+    v, x = F.trim(text).try_cast("double"), F.lit(number).cast("double")
+    near = F.abs(v - x) < 1e-9
+    as_number = {"=": near, "!=": ~near, ">": v > x, "<": v < x, ">=": v >= x, "<=": v <= x}.get(op, F.lit(False))
+    as_text = {"=": text == str(value), "!=": text != str(value)}.get(op, F.lit(False))
+    return df.where(text.isNotNull() & F.when(v.isNotNull() & x.isNotNull(), as_number).otherwise(as_text))
 
 
 def order(df: DataFrame, column: str, descending: bool = True) -> list[Column]:
@@ -111,11 +118,8 @@ def query(df: DataFrame, where: str | dict | None = None, sort_by: str | None =
     return page(df.where(predicate(df, clause)), sort_by, descending, 0, limit, columns)
 
 
-def aggregate(df: DataFrame, column: str, func: str, exact: bool = False) -> Column:
-    """One aggregate. count takes what is neither null nor ""; count_distinct the texts of what isn't null. sum, mean, std and an even median have 4 digits.
-
-    exact: sum as decimals of two digits, for sums that don't depend on their order.
-    """
+def aggregate(df: DataFrame, column: str, func: str) -> Column:
+    """One aggregate. count takes what is neither null nor ""; count_distinct the texts of what isn't null. sum, mean, std and an even median have 4 digits."""
     if func not in FUNCTIONS:
         raise ValueError(f"unknown function {func!r}")
     text = F.col(f"`{column}`").cast("string")
@@ -124,24 +128,40 @@ def aggregate(df: DataFrame, column: str, func: str, exact: bool = False) -> Col
     if func == "count_distinct":
         return F.countDistinct(text)
     v = permissive(df, column)
-    if func == "sum":
-        return rounded(F.sum(v.cast("decimal(28,2)")).cast("double") if exact else F.sum(v), 4)
-    if func == "mean":
-        return rounded((F.sum(v.cast("decimal(28,2)")).cast("double") / F.count(v)) if exact else F.avg(v), 4)
-    if func == "std":
-        return rounded(F.stddev_pop(v), 4)
     if func == "median":
         return F.when(F.count(v) % 2 == 0, rounded(F.median(v), 4)).otherwise(F.median(v))
-    return {"min": F.min, "max": F.max}[func](v)
-
-
-def group_by(df: DataFrame, keys: list[str], aggs: list[dict], sort_by: str | None = None, descending: bool = True, limit: int | None = GROUPS, exact: bool = False) -> DataFrame:
+    return {"sum": rounded(F.sum(v), 4), "mean": rounded(F.avg(v), 4), "std": rounded(F.stddev_pop(v), 4), "min": F.min(v), "max": F.max(v)}[func]
+
+
+def aggregates(df: DataFrame, column: str, funcs: list[str]) -> DataFrame:
+    """Several aggregates of a whole column as one row. The median and the distinct count come from counts by value, which are shuffled by value and ranked in
+    ranges, so no task holds all values."""
+    if unknown := [f for f in funcs if f not in FUNCTIONS]:
+        raise ValueError(f"unknown functions {unknown}")
+    v, text = permissive(df, column), F.col(f"`{column}`").cast("string")
+    counts = df.groupBy(text.alias("t"), v.alias("v")).agg(F.count("*").alias("n"))
+    plain = df.agg(*(aggregate(df, column, f).alias(f) for f in funcs if f not in ("median", "count_distinct")), F.count(v).alias("_n"))
+    out = plain
+    if "count_distinct" in funcs:
+        out = out.crossJoin(counts.select("t").where("t is not null").distinct().agg(F.count("*").alias("count_distinct")))  # one row each
+    if "median" in funcs:
+        n = df.select(F.count(v)).first()[0]
+        at = sorted({(n - 1) // 2, n // 2}) if n else []
+        by_value = below(counts.where("v is not null").groupBy("v").agg(F.sum("n").alias("n")), "v", "n")
+        hit = F.array(*(F.lit(a) for a in at)) if at else F.array().cast("array<int>")
+        middle = by_value.select("v", F.size(F.filter(hit, lambda a: (a >= F.col("_below")) & (a < F.col("_below") + F.col("n")))).alias("w")).where("w > 0")
+        half = F.sum(F.col("v") * F.col("w")) / F.sum("w")
+        out = out.crossJoin(middle.agg((rounded(half, 4) if n % 2 == 0 else half).alias("median")))  # one row each
+    return out.select(*funcs)
+
+
+def group_by(df: DataFrame, keys: list[str], aggs: list[dict], sort_by: str | None = None, descending: bool = True, limit: int | None = GROUPS) -> DataFrame:
     """Partial and final aggregation by native columns; nulls are a group of their own. Sorted numerically, nulls last both ways, then by key."""
     if len(aggs) > AGGREGATES:
         raise ValueError(f"at most {AGGREGATES} aggregates")
     if missing := [k for k in keys if k not in df.columns]:
         raise ValueError(f"unknown columns {missing}")
-    named = [aggregate(df, a["column"], a["func"], exact).alias(a.get("alias") or f"{a['func']}_{a['column']}") for a in aggs]
+    named = [aggregate(df, a["column"], a["func"]).alias(a.get("alias") or f"{a['func']}_{a['column']}") for a in aggs]
     out = df.groupBy(*keys).agg(*named)
     if sort_by in out.columns:
         c = F.col(f"`{sort_by}`")
@@ -149,4 +169,4 @@ def group_by(df: DataFrame, keys: list[str], aggs: list[dict], sort_by: str | No
     return out if limit is None else out.limit(limit)
 
 
-__all__ = ["FUNCTIONS", "OPERATORS", "InvalidClause", "aggregate", "filter_by_condition", "finite", "group_by", "leaf", "order", "page", "predicate", "project", "query"]
+__all__ = ["FUNCTIONS", "OPERATORS", "InvalidClause", "aggregate", "aggregates", "filter_by_condition", "finite", "group_by", "leaf", "order", "page", "predicate", "project", "query"]

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import Moments, average_ranks, below, bucket, chi2_p, complete, f_p, fit_linear, permissive, quantile_edges, r, ranged, with_offsets
+from ..functions.numeric import Moments, average_ranks, below, bucket, chi2_p, complete, f_p, fit_linear, percentiles, permissive, quantile_edges, r, ranged, with_offsets
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -186,9 +186,10 @@ def interaction_screen(df: DataFrame, target: str, candidates: list[str], top: i
     for a, b in pairs:
         ra, rb, joint = m.r2(target, [a]), m.r2(target, [b]), m.r2(target, [a, b, f"{a}*{b}"])
         gain = joint - m.r2(target, [a, b])
-        kind = "synergy" if gain > 0.05 else "suppression" if joint < max(ra, rb) else "additive"
-        out.append({"field_a": a, "field_b": b, "r2_a": r(ra, 6), "r2_b": r(rb, 6), "r2_joint": r(joint, 6), "interaction_strength": r(gain, 6), "interaction_type": kind})
-    return {"target": target, "samples": m.n, "interactions": sorted(out, key=lambda x: -x["interaction_strength"])[:top], "total_pairs_tested": len(pairs)}
+        better = joint > max(ra, rb)
+        kind = "synergy" if better and gain > 0.02 else "suppression" if not better and gain < -0.02 else "additive"
+        out.append({"field_a": a, "field_b": b, "r2_a": r(ra, 4), "r2_b": r(rb, 4), "r2_joint": r(joint, 4), "interaction_strength": r(gain, 4), "interaction_type": kind})
+    return {"target": target, "samples": m.n, "interactions": sorted(out, key=lambda x: -abs(x["interaction_strength"]))[:top], "total_pairs_tested": len(pairs)}
 
 
 def feature_importance(df: DataFrame, target: str, candidates: list[str]) -> dict:
@@ -252,17 +253,28 @@ def information_bottleneck(df: DataFrame, inputs: list[str], target: str, beta:
 def distribution(df: DataFrame, field: str, bins: int = 15) -> dict:
     rows = complete(df, [field])
     q = [0.05, 0.25, 0.5, 0.75, 0.95]
-    x = rows.agg(F.count("*"), F.avg(field), F.stddev_pop(field), F.skewness(field), F.kurtosis(field), F.min(field), F.max(field), F.percentile(field, F.lit(q))).first()
-    n, mean, std, skew, kurt, low, high, quant = x
+    x = rows.agg(F.count("*"), F.avg(field), F.stddev_pop(field), F.skewness(field), F.kurtosis(field), F.min(field), F.max(field)).first()
+    n, mean, std, skew, kurt, low, high = x
     if n < 5:
         return {"error": "at least 5 numbers"}
+    quant = percentiles(rows, field, q)
     skew, kurt, width = skew or 0.0, kurt or 0.0, (high - low) / bins
-    skew, kurt = (0.0, 0.0) if std == 0 else (skew, kurt)
+    skew, kurt = (0.0, 0.0) if std <= 1e-12 else (skew, kurt)
     at = F.least(F.floor((F.col(field) - low) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
     counts = dict(tuple(t) for t in rows.groupBy(at.cast("int").alias("b")).count().collect())
+    histogram = [counts.get(i, 0) for i in range(bins)]
     jb = n / 6 * (skew**2 + kurt**2 / 4)
-    shape = "constant" if std == 0 else "right_skewed" if skew > 1 else "left_skewed" if skew < -1 else "heavy_tailed" if kurt > 3 else "light_tailed" if kurt < -1 else "approximately_normal"
-    return {"field": field, "count": n, "mean": r(mean, 4), "median": r(quant[2], 4), "std": r(std, 4), "skewness": r(skew, 4), "kurtosis": r(kurt, 4), "min": low, "max": high, "quantiles": {f"p{int(p * 100)}": r(v, 4) for p, v in zip(q, quant)}, "histogram": {"edges": [r(low + i * width, 4) for i in range(bins + 1)], "counts": [counts.get(i, 0) for i in range(bins)]}, "normality_pvalue": r(math.exp(-jb / 2), 6), "shape_label": shape}
+    if abs(skew) < 0.5 and abs(kurt) < 1:
+        shape = "normal"
+    elif abs(skew) > 1:
+        shape = "right_skewed" if skew > 0 else "left_skewed"
+    elif kurt > 3:
+        shape = "heavy_tailed"
+    elif abs(skew) < 0.3 and kurt < -1:
+        shape = "uniform"
+    else:
+        shape = "bimodal" if sum(x < y > z for x, y, z in zip(histogram, histogram[1:], histogram[2:])) > 1 else "moderate_skew"
+    return {"field": field, "count": n, "mean": r(mean, 6), "median": r(quant[2], 6), "std": r(std, 6), "skewness": r(skew, 4), "kurtosis": r(kurt, 4), "min": r(low, 6), "max": r(high, 6), "quantiles": {f"p{int(p * 100)}": r(v, 6) for p, v in zip(q, quant)}, "histogram": {"edges": [r(low + i * (width or 1.0), 6) for i in range(bins + 1)], "counts": histogram}, "normality_pvalue": r(math.exp(-jb / 2), 6), "shape_label": shape}
 
 
 def outliers(df: DataFrame, fields: list[str], method: str = "both", threshold: float | None = None, z_limit: float = 3.0, iqr: float = 1.5, top: int = 50) -> dict:
@@ -271,12 +283,13 @@ def outliers(df: DataFrame, fields: list[str], method: str = "both", threshold:
     if "_row_id" not in df.columns:
         df = df.withColumn("_row_id", F.monotonically_increasing_id())
     values = df.select("_row_id", *(permissive(df, f).alias(f) for f in fields))
-    x = values.agg(*(e for f in fields for e in (F.count(f), F.avg(f), F.stddev_pop(f), F.percentile(f, F.lit([0.25, 0.75]))))).first()
+    x = values.agg(*(e for f in fields for e in (F.count(f), F.avg(f), F.stddev_pop(f)))).first()
     summaries, severity, flags = [], [], []
     for i, f in enumerate(fields):
-        n, mean, std, q = x[4 * i : 4 * i + 4]
+        n, mean, std = x[3 * i : 3 * i + 3]
         if n < 5:
             continue
+        q = percentiles(values, f, [0.25, 0.75])
         z = (F.col(f) - F.lit(mean)) / F.lit(std) if std else F.lit(0.0)
         fence = iqr * (q[1] - q[0])
         by_z, by_q = F.abs(z) > z_limit, (F.col(f) < q[0] - fence) | (F.col(f) > q[1] + fence)
@@ -402,31 +415,39 @@ def cluster(df: DataFrame, fields: list[str], k: int | None = None, max_k: int =
 def series(df: DataFrame, field: str, order_by: str, lexical: bool = True) -> DataFrame:
     """_n, v, o: the field's numbers in the order of another column, by its text unless ``lexical`` is off."""
     o = F.col(f"`{order_by}`")
-    key = F.coalesce(o.cast("string"), F.lit("null")) if lexical else o
+    key = o.cast("string") if lexical else o
     tie = [F.col("_row_id")] if "_row_id" in df.columns else []
-    rows = df.select(permissive(df, field).alias("v"), key.alias("o"), *tie).where("v is not null")
+    rows = df.select(permissive(df, field).alias("v"), key.alias("o"), *tie).where("v is not null and o is not null")
     return numbered_rows(rows, ["o", *(["_row_id"] if tie else ["v"])]).select("_n", "v", "o")
 
 
-def shifted(s: DataFrame, lag: int) -> DataFrame:
-    """v and w = the value ``lag`` places later, by an equi-join on the place."""
-    return s.select("_n", "v").join(s.select((F.col("_n") - lag).alias("_n"), F.col("v").alias("w")), "_n")
+def in_blocks(s: DataFrame, before: int, after: int, least: int = 10_000) -> tuple[DataFrame, Column, Window]:
+    """The series in blocks of rows (column b), each with so many rows before and after it; whether a row is its block's own; a window over a block."""
+    size = max(least, 4 * (before + after))
+    block = F.floor(F.col("_n") / size)
+    shared = s.withColumn("b", F.explode(F.array_distinct(F.array(block, F.floor((F.col("_n") + before) / size), F.floor((F.col("_n") - after) / size)))))
+    return shared, F.col("b") == block, Window.partitionBy("b").orderBy("_n")
 
 
 def autocorrelation(df: DataFrame, field: str, order_by: str, max_lag: int | None = None, lexical: bool = True) -> dict:
-    s = series(df, field, order_by, lexical).select("_n", "v").cache()
+    """Rows without a number or an order value are left out; all lags come from one pass over blocks of rows."""
+    s = series(df, field, order_by, lexical).select("_n", "v")
     n, mean, var = s.agg(F.count("*"), F.avg("v"), F.var_pop("v")).first()
     if n < 30:
         return {"error": "at least 30 numbers"}
-    most = min(max_lag or 20, n // 3)
-    lags = s.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most)))).select((F.col("_n") + F.col("k")).alias("_n"), "k", F.col("v").alias("w"))
-    sums = dict(tuple(x) for x in lags.join(s, "_n").groupBy("k").agg(F.sum((F.col("v") - mean) * (F.col("w") - mean))).collect())
-    s.unpersist()
-    acf = [sums.get(k, 0.0) / (n * var) if var else 0.0 for k in range(1, most + 1)]
+    if var < 1e-12:
+        return {"error": "a constant series"}
+    most = max_lag or min(20, n // 3)
+    shared, own, w = in_blocks(s, 0, most)
+    later = shared.select(own.alias("own"), (F.col("v") - mean).alias("v"), *((F.lead("v", k).over(w) - mean).alias(f"w{k}") for k in range(1, most + 1)))
+    sums = later.where("own").agg(*(F.sum(F.col("v") * F.col(f"w{k}")) for k in range(1, most + 1))).first()
+    acf = [r((x or 0.0) / n / var, 4) for x in sums]
     limit = 2 / math.sqrt(n)
-    significant = [k + 1 for k, x in enumerate(acf) if abs(x) > limit]
-    peak = next((k + 1 for k in range(1, most - 1) if acf[k] > acf[k - 1] and acf[k] > acf[k + 1] and acf[k] > limit), None)
-    return {"field": field, "samples": n, "acf_values": [{"lag": k + 1, "acf": r(x, 4)} for k, x in enumerate(acf)], "significant_lags": significant, "significance_threshold": r(limit, 4), "dominant_period": peak, "is_stationary_hint": not acf or abs(acf[-1]) < limit}
+    significant = [k for k, x in enumerate(sums, 1) if abs((x or 0.0) / n / var) > limit]
+    peak = next((k + 1 for k in range(1, most - 1) if acf[k] > max(acf[k - 1], acf[k + 1], limit)), None)
+    # whether the first lags fall off
+    falls = abs(acf[0] - acf[4]) > 0.3 if most > 4 else True
+    return {"field": field, "samples": n, "acf_values": [{"lag": k, "acf": x} for k, x in enumerate(acf, 1)], "significant_lags": significant, "significance_threshold": r(limit, 4), "dominant_period": peak, "is_stationary_hint": falls}
 
 
 def changepoints(df: DataFrame, field: str, order_by: str, segment: int = 10, threshold: float = 2.0, lexical: bool = True) -> dict:
@@ -436,15 +457,11 @@ def changepoints(df: DataFrame, field: str, order_by: str, segment: int = 10, th
     if n < 20:
         return {"error": "at least 20 numbers"}
     out = {"field": field, "samples": n, "changepoints": []}
-    if not std:
+    if std < 1e-12:
         return out
-    # windows in blocks of rows, each with the segment on either side of it
-    size = max(10_000, 4 * segment)
-    block = F.floor(F.col("_n") / size)
-    shared = s.withColumn("b", F.explode(F.array_distinct(F.array(block, F.floor((F.col("_n") + segment) / size), F.floor((F.col("_n") - segment) / size)))))
-    w = Window.partitionBy("b").orderBy("_n")
+    shared, own, w = in_blocks(s, segment, segment)
     near = shared.withColumn("before", F.avg("v").over(w.rowsBetween(-segment, -1))).withColumn("after", F.avg("v").over(w.rowsBetween(0, segment - 1)))
-    hits = near.where((F.col("b") == block) & (F.col("_n") >= segment) & (F.col("_n") <= n - segment) & (F.abs(F.col("after") - F.col("before")) / std > threshold))
+    hits = near.where(own & (F.col("_n") >= segment) & (F.col("_n") < n - segment) & (F.abs(F.col("after") - F.col("before")) / std > threshold))
     last = -segment
     for x in hits.orderBy("_n").toLocalIterator():
         if x._n >= last + segment:
@@ -455,22 +472,21 @@ def changepoints(df: DataFrame, field: str, order_by: str, segment: int = 10, th
 
 
 def ergodicity(df: DataFrame, field: str, order_by: str, windows: tuple = (10, 25, 50, 100), lexical: bool = True) -> dict:
-    """Spread of the means of half-overlapping windows against what independence predicts."""
+    """How the means of half-overlapping windows spread about the whole mean; how that falls from the first window size to the last, against what independence predicts."""
     s = series(df, field, order_by, lexical)
     n, mean, std = s.agg(F.count("*"), F.avg("v"), F.stddev_pop("v")).first()
     if n < 30:
         return {"error": "at least 30 numbers"}
-    out, ratios = [], []
-    for w in (w for w in windows if w <= n // 2):
+    out = []
+    for w in (w for w in windows if w < n):
         half = max(1, w // 2)
-        last = (n - w) // half
-        at = F.floor(F.col("_n") / half)
-        starts = F.sequence(F.greatest(F.lit(0), F.floor((F.col("_n") - w) / half) + 1), F.least(at, F.lit(last)))
-        means = s.where(F.size(F.when(F.least(at, F.lit(last)) >= F.greatest(F.lit(0), F.floor((F.col("_n") - w) / half) + 1), starts)) > 0).withColumn("c", F.explode(starts)).groupBy("c").agg(F.avg("v").alias("m"))
-        k, center, spread = means.agg(F.count("*"), F.avg("m"), F.stddev_pop("m")).first()
+        low, high = F.greatest(F.lit(0), F.floor((F.col("_n") - w) / half) + 1), F.least(F.floor(F.col("_n") / half), F.lit((n - w) // half))
+        means = s.where(high >= low).withColumn("c", F.explode(F.sequence(low, high))).groupBy("c").agg(F.avg("v").alias("m"))
+        k, center, spread = means.agg(F.count("*"), F.avg("m"), F.sqrt(F.avg((F.col("m") - mean) ** 2))).first()
         out.append({"window": w, "mean_of_means": r(center, 4), "spread_of_means": r(spread, 4), "n_chunks": k})
-        ratios.append(spread / (std / math.sqrt(w)) if std else 1.0)
-    ratio = sum(ratios) / len(ratios) if ratios else 0.0
+    ratio = 1.0
+    if len(out) > 1 and out[0]["spread_of_means"] > 1e-12:
+        ratio = out[-1]["spread_of_means"] / out[0]["spread_of_means"] / math.sqrt(out[0]["window"] / out[-1]["window"])
     return {"field": field, "samples": n, "ensemble_mean": r(mean, 4), "ensemble_std": r(std, 4), "time_averages_by_window": out, "ergodicity_ratio": r(ratio, 4), "is_ergodic": 0.5 < ratio < 2}
 
 
@@ -480,40 +496,45 @@ def entropy_spectrum(df: DataFrame, field: str, order_by: str, max_scale: int =
     n, std = s.agg(F.count("*"), F.stddev_pop("v")).first()
     if n < 50 or n > most:
         return {"error": f"from 50 to {most} numbers"}
-    tolerance = 0.15 * (std or 0.0)
+    tolerance = 0.15 * (std if std > 1e-12 else 1.0)
     values = np.array([x.v for x in s.orderBy("_n").collect()])
 
-    def matches(x: np.ndarray, width: int, count: int) -> int:
-        view = np.lib.stride_tricks.sliding_window_view(x, width)[:count]
+    def matches(x: np.ndarray, width: int) -> int:
+        view = np.lib.stride_tricks.sliding_window_view(x, width)[: len(x) - width]
         return sum(int((np.abs(view[i + 1 :] - view[i]).max(1) <= tolerance).sum()) for i in range(len(view) - 1))
 
     out = []
     for scale in range(1, max_scale + 1):
         x = values[: len(values) // scale * scale].reshape(-1, scale).mean(1)
-        if len(x) < m + 2:
+        if len(x) < m + 5:
             break
-        a, b = matches(x, m + 1, len(x) - m), matches(x, m, len(x) - m)
-        out.append({"scale": scale, "sample_entropy": r(-math.log(a / b), 6) if a and b else 0.0, "series_length": len(x)})
-    first, last = out[0]["sample_entropy"], out[-1]["sample_entropy"]
-    kind = "complex" if last > first * 1.1 else "random" if last < first * 0.9 else "scale_invariant"
-    return {"field": field, "samples": n, "embedding_dim": m, "tolerance": r(tolerance, 6), "entropy_spectrum": out, "complexity_type": kind}
+        longer, shorter = matches(x, m + 1), matches(x, m)
+        out.append({"scale": scale, "sample_entropy": r(-math.log(longer / shorter), 4) if longer and shorter else 0.0, "series_length": len(x)})
+    found = [x["sample_entropy"] for x in out]
+    kind = "insufficient_data"
+    if len(found) >= 3:
+        falls, rises = found[0] > 1.5 * found[-1], found[-1] > 1.5 * found[0]
+        kind = "decreasing" if falls else "increasing" if rises else "scale_invariant" if max(found) / (min(found) + 1e-12) < 1.3 else "mixed"
+    return {"field": field, "samples": n, "embedding_dim": m, "tolerance": r(tolerance, 4), "entropy_spectrum": out, "complexity_type": kind}
 
 
 def symmetry_scan(df: DataFrame, fields: list[str]) -> dict:
-    fields = fields[:15]
+    """Fields whose values lie alike on either side of the mean, and pairs whose sorted values hardly differ. Constant fields have no reflection."""
+    if len(fields) < 2:
+        return {"error": "at least two fields"}
+    if len(fields) > 15:
+        raise ValueError("at most 15 fields")
     rows = complete(df, fields)
-    x = rows.agg(F.count("*"), *(F.skewness(f) for f in fields), *(F.max(F.abs(f)) for f in fields)).first()
-    n, k = x[0], len(fields)
-    if n < 20:
+    x = rows.agg(F.count("*").alias("n"), *(e for f in fields for e in (F.skewness(f).alias(f"skew_{f}"), F.stddev_pop(f).alias(f"std_{f}"), F.max(F.abs(f)).alias(f"most_{f}")))).first()
+    if x.n < 20:
         return {"error": "at least 20 complete rows"}
-    found = [{"type": "reflection", "field": f, "skewness": r(s or 0.0, 4)} for f, s in zip(fields, x[1:]) if s is None or math.isnan(s) or abs(s) < 0.2]
-    sorted_ = {f: numbered_rows(rows.select(F.col(f).alias("v")), ["v"]) for f in fields} if k > 1 else {}
-    for (i, a), (j, b) in combinations(enumerate(fields), 2):
-        gap = sorted_[a].join(sorted_[b].withColumnRenamed("v", "w"), "_n").agg(F.max(F.abs(F.col("v") - F.col("w")))).first()[0]
-        scale = max(x[1 + k + i], x[1 + k + j])
-        if scale > 0 and gap / scale < 0.1:
-            found.append({"type": "permutation", "field_a": a, "field_b": b, "max_gap": r(gap / scale, 4)})
-    return {"fields": fields, "samples": n, "symmetries": found, "total_symmetries_found": len(found)}
+    found = [{"type": "reflection_symmetry", "field": f, "skewness": r(x[f"skew_{f}"], 4)} for f in fields if x[f"std_{f}"] >= 1e-12 and abs(x[f"skew_{f}"]) < 0.2]
+    ranked = {f: numbered_rows(rows.select(F.col(f).alias("v")), ["v"]) for f in fields}
+    for a, b in combinations(fields, 2):
+        gap = ranked[a].join(ranked[b].withColumnRenamed("v", "w"), "_n").agg(F.max(F.abs(F.col("v") - F.col("w")))).first()[0] / max(x[f"most_{a}"], x[f"most_{b}"], 1e-12)
+        if gap < 0.1:
+            found.append({"type": "permutation_symmetry", "field_a": a, "field_b": b, "ks_distance": r(gap, 4)})
+    return {"fields": fields, "samples": x.n, "symmetries": found, "total_symmetries_found": len(found)}
 
 
 __all__ = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__] + ["below", "fit_linear"]

@@ -14,7 +14,8 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import query as q
 from .sources import payload
@@ -26,6 +27,16 @@ def fingerprint(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def fingerprint_column(text: Column) -> Column:
+    """``fingerprint`` of a column of payloads."""
+    return F.sha2(text, 256)
+
+
+def key_column(label: Column, print_: Column, prefix: int = 6) -> Column:
+    """``make_key`` of columns."""
+    return F.concat(F.regexp_replace(F.regexp_replace(F.lower(F.substring(label, 1, 20)), "[^a-z0-9]", "_"), "^_+|_+$", ""), F.lit("_"), F.substring(print_, 1, prefix))
+
+
 def make_key(label: str, print_: str, prefix: int = 6) -> str:
     return re.sub("[^a-z0-9]", "_", label[:20].lower()).strip("_") + "_" + print_[:prefix]
 
@@ -102,12 +113,13 @@ class Store:
             return self.track(len(text), self.summary(slot))
 
     def register(self, df: DataFrame, label: str) -> str:
-        """A table as it is (it needs no _row_id; pages are then in sort order alone); its key."""
+        """A table as it is (it needs no _row_id; pages are then in sort order alone), with its columns' types and statistics; its key."""
         print_ = fingerprint(label + df.schema.json() + df._jdf.queryExecution().analyzed().toString())
-        kinds = {f.name: "numeric" if isinstance(f.dataType, q.NUMERIC) else f.dataType.simpleString() for f in df.schema if f.name != "_row_id"}
+        stats = {x["column"]: {k: [list(v) for v in x[k]] if k == "top_values" else x[k] for k in x.asDict() if k != "column" and x[k] is not None} for x in payload.profile_frame(df).collect()}
+        kinds = {c: "numeric" if isinstance(df.schema[c].dataType, q.NUMERIC) else s["base_type"] for c, s in stats.items()}
         with self.lock:
             self.evict(0)
-            slot = Slot(make_key(label, print_), label, print_, df, kinds, {}, df.count(), 0)
+            slot = Slot(make_key(label, print_), label, print_, df, kinds, stats, df.count(), 0)
             self.slots[slot.key] = slot
         return slot.key
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import csv
 import io
 import json
+import os
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .operators import query as q
 
@@ -30,7 +32,7 @@ def export_csv(df: DataFrame, sort_by: str | None = None, descending: bool = Tru
     return out.getvalue()
 
 
-def export_markdown(df: DataFrame, sort_by: str | None = None, descending: bool = True, limit: int = 50, columns: list[str] | None = None, width: int = 40) -> str:
+def export_markdown(df: DataFrame, sort_by: str | None = None, descending: bool = True, limit: int = 50, columns: list[str] | None = None, width: int = 40, total: int | None = None, label: str = "") -> str:
     page = q.page(df, sort_by, descending, 0, limit, columns, limit)
     rows = page.collect()
 
@@ -40,7 +42,9 @@ def export_markdown(df: DataFrame, sort_by: str | None = None, descending: bool
 
     marks = ["---:" if q.is_numeric(page, c) else "---" for c in page.columns]
     lines = [page.columns, marks, *([cell(v) for v in row] for row in rows)]
-    return "\n".join("| " + " | ".join(x) + " |" for x in lines) + f"\n\n_{len(rows)} rows_"
+    whole = df.count() if total is None else total
+    named = f" from **{label}**" if label else ""
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines) + (f"\n\n*Showing {len(rows)} of {whole} rows{named}.*" if whole > len(rows) else "")
 
 
 def export_matrix(df: DataFrame, key: str, label: str, total: int, limit: int = 500) -> dict:
@@ -60,9 +64,20 @@ def build_artifact(df: DataFrame, name: str, kind: str, **options: object) -> di
 def slot_to_chunk(slot, rows: int = 2, columns: int = 30, sheet: str | None = None) -> dict:
     """A short text about a slot to embed, with what leads back to it."""
     names = list(slot.col_types)[:columns]
-    sample = json.dumps(export_rows(slot.df, None, True, 0, rows, names), default=str)[:800]
-    text = f"{slot.label}: {slot.row_count} rows; columns {', '.join(f'{c} ({slot.col_types[c]})' for c in names)}; sample {sample}"[:6000]
-    return {"content": text, "chunk_type": "table", "cell_range": None, "sheet_name": sheet, "metadata": {"key": slot.key, "fingerprint": slot.fingerprint, "label": slot.label, "row_count": slot.row_count, "columns": names, "col_types": {c: slot.col_types[c] for c in names}}}
+
+    def told(c: str) -> str:
+        kind, x = slot.col_types[c], slot.col_stats.get(c, {})
+        if kind == "numeric" and "min" in x:
+            return f"  {c} ({kind}) range [{x['min']}..{x['max']}] mean={x['mean']}"
+        if kind == "string" and x.get("top_values"):
+            return f"  {c} ({kind}) {x['unique_count']} unique, top: {[v for v, _ in x['top_values']]}"
+        return f"  {c} ({kind}) range [{x['min_date']}..{x['max_date']}]" if "min_date" in x else f"  {c} ({kind})"
+
+    sample = json.dumps(export_rows(slot.df, None, True, 0, rows, names), default=str)
+    sample = sample if len(sample) <= 800 else sample[:800] + "...]"
+    lines = [f"Dataset: {slot.label} ({slot.row_count} records, {len(slot.col_types)} columns)", f"key: {slot.key} | fingerprint: {slot.fingerprint[:12]}", "Columns:", *map(told, names), f"Sample: {sample}"]
+    known = names[:20]
+    return {"content": "\n".join(lines)[:6000], "chunk_type": "table", "cell_range": None, "sheet_name": sheet, "metadata": {"key": slot.key, "fingerprint": slot.fingerprint[:16], "label": slot.label, "row_count": slot.row_count, "columns": known, "col_types": {c: slot.col_types[c] for c in known}}}
 
 
 @dataclass(frozen=True)
@@ -129,11 +144,35 @@ def tools_for(provider: str, specs: list[ToolSpec], **options: object) -> list[d
     return ADAPTERS[provider](specs, **options)
 
 
-def count_tokens(text: str, provider: str = "openai") -> int:
-    """The estimate ceil(length / 4) in UTF-16 units; exact encodings need files that are not here."""
+def exact_counter(provider: str) -> Callable[[str], int] | None:
+    """A provider's own count, where its vocabulary is at hand offline; none asks a network."""
     if provider not in ADAPTERS:
         raise ValueError(f"unknown provider {provider!r}")
-    return -(-(len(text.encode("utf-16-le")) // 2) // 4)
+    if provider != "openai" or not os.environ.get("TIKTOKEN_CACHE_DIR"):
+        return None
+    try:
+        import tiktoken
+
+        encoding = tiktoken.get_encoding("o200k_base")
+    except Exception:  # not installed, or its files aren't in the cache
+        return None
+    return lambda text: len(encoding.encode(text, disallowed_special=()))
+
+
+def is_exact(provider: str = "openai") -> bool:
+    return exact_counter(provider) is not None
+
+
+def count_tokens(text: str, provider: str = "openai") -> int:
+    """The exact count where there is one, else the estimate ceil(length / 4) in UTF-16 units."""
+    exact = exact_counter(provider)
+    return exact(text) if exact else -(-(len(text.encode("utf-16-le")) // 2) // 4)
+
+
+def token_estimate(text: Column) -> Column:
+    """The estimate for a column of texts; null has none."""
+    units = F.length(text) + F.regexp_count(text, F.lit("[\\x{10000}-\\x{10FFFF}]"))
+    return F.ceil(units / 4).cast("long")
 
 
 def build_tool_specs(store) -> list[ToolSpec]:
