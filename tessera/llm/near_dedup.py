@@ -35,8 +35,8 @@ WORDS, PERCENT = 5, 75
 CHUNKS, LANES, BITS = 8, 4, 14
 #: Longs in the parity bitmap of a set.
 PARITY = 16
-#: Members of a key that are held against one another in one task; more meet by rare shingles, then in blocks of so many.
-CROWD = 128
+#: Members of a key that are held against one another as they are; more meet by rare shingles. Blocks in which these are dealt.
+CROWD, BLOCK = 128, 1024
 #: Up to so many ids are broadcast to find the texts that are to be confirmed; beyond, the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 SKETCH = [f"s{i}" for i in range(CHUNKS)] + [f"p{i}" for i in range(PARITY)]
@@ -162,9 +162,9 @@ def components(links: DataFrame) -> DataFrame:
 def paired(members: DataFrame, percent: int) -> DataFrame:
     """The pairs (a < b) of members (key, cls, comp, n, sketch) of a key that may be links between two components.
 
-    A crowded key is dealt in blocks of about CROWD members, and every two blocks meet in a task's group of their own.
+    A crowded key is dealt in blocks of about BLOCK members, and every two blocks meet in a task's group of their own.
     """
-    many = members.groupBy("key").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "blocks")
+    many = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "blocks")
     dealt = members.join(many, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = keep(dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks"), "dealt")
     same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "i", "j")])

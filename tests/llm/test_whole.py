@@ -157,6 +157,7 @@ def near_dedup_set(text):
 def test_near_duplicates_among_many_texts_that_share_a_passage(spark, monkeypatch):
     """Hundreds of texts with one template, some of them near copies of one another: crowded keys, rare shingles and blocks."""
     monkeypatch.setattr(near_dedup, "CROWD", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
     made = []
     monkeypatch.setattr(near_dedup, "rare_keys", lambda *a, f=near_dedup.rare_keys: made.append(f(*a)) or made[-1])
     g = random.Random(3)
