@@ -35,8 +35,9 @@ WORDS, PERCENT = 5, 75
 CHUNKS, LANES, BITS = 8, 4, 14
 #: Longs in the parity bitmap of a set.
 PARITY = 16
-#: Members of a key that are held against one another as they are; more meet by rare shingles. Blocks in which these are dealt.
-CROWD, BLOCK = 128, 1024
+#: Up to so many members a key's pairs cost less (some 20 ns each for the bitmaps) than spreading their shingles; beyond, they meet by rare shingles.
+#: Either way keys are dealt in blocks; two blocks take a task under a second.
+CROWD, BLOCK = 8192, 4096
 #: Up to so many ids are broadcast to find the texts that are to be confirmed; beyond, the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 SKETCH = [f"s{i}" for i in range(CHUNKS)] + [f"p{i}" for i in range(PARITY)]
