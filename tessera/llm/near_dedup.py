@@ -11,8 +11,9 @@ at most as many bits as their sets do in elements, and no pair with the similari
 
 Documents of equal sets are one class, and the join runs over classes. Under each key
 all members are first held against the smallest one, so a large group of near copies costs as
-many pairs as it has members. Components of these links come next; then, in each key, only members
-that are still in different components are held against one another. Where many are left in a key (texts that share a
+many pairs as it has members. Components of these links come next. Where a key still holds several of them (its smallest
+member was none of the group: it shares a passage with it, say), its members are held against one drawn by hash, a few times
+over; then only members that are still in different components are held against one another. Where many are left in a key (texts that share a
 long passage, say, and nothing else) they meet again by their rarest shingles: two sets of the similarity share one of the
 rarest quarter of each. What is still crowded is dealt in blocks, so no task holds a group whole. No pair that meets
 and may be a link goes untested.
@@ -38,6 +39,8 @@ PARITY = 16
 #: Up to so many members a key's pairs cost less (some 20 ns each for the bitmaps) than spreading their shingles; beyond, they meet by rare shingles.
 #: Either way keys are dealt in blocks; two blocks take a task under a second.
 CROWD, BLOCK = 8192, 4096
+#: So often members are held against one of their key before they are held against one another; fewer if that links nothing more.
+TURNS = 3
 #: Up to so many ids are broadcast to find the texts that are to be confirmed; beyond, the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 SKETCH = [f"s{i}" for i in range(CHUNKS)] + [f"p{i}" for i in range(PARITY)]
@@ -160,6 +163,13 @@ def components(links: DataFrame) -> DataFrame:
     return spread(edges).groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("comp"))
 
 
+def led(members: DataFrame, turn: int) -> DataFrame:
+    """Of members (key, cls, comp) the pairs (a < b) of a key's leader, drawn anew in each turn, and its members of other components."""
+    leaders = members.groupBy("key").agg(F.min_by(F.struct("cls", "comp"), F.xxhash64("cls", "key", F.lit(turn))).alias("lead"))
+    met = members.join(leaders, "key").where(F.col("comp") != F.col("lead.comp"))
+    return met.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
+
+
 def paired(members: DataFrame, percent: int) -> DataFrame:
     """The pairs (a < b) of members (key, cls, comp, n, sketch) of a key that may be links between two components.
 
@@ -207,30 +217,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = keep(members.drop("rep").join(leaders, "key"), "met")  # members of keys that are not alone
     known = classes.select("cls", "n", *SKETCH)
     near = lambda pairs: pairs.join(known.alias("a"), F.col("p.a") == F.col("a.cls")).join(known.alias("b"), F.col("p.b") == F.col("b.cls")).where(reachable(percent)).select("p.a", "p.b")
-    first = keep(near(met.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct().alias("p")), "pairs")
+    first = met.where("cls <> leader").select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
+    tried = keep(near(first.alias("p")), "pairs")
     sets = full_sets(docs, classes.join(met.select("cls").distinct(), "cls", "left_semi").select(F.col("rep").alias("id")).distinct(), id_col, text_col, words)
     if not base.where("doc_id is not null").groupBy("doc_id", "h1").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["cls"])  # rows that are repeated with their id
     sets = keep(sets, "sets")
-    links = keep(confirmed(first, sets, percent), "links")
+    links = keep(confirmed(tried, sets, percent), "links")
+    scratch = [met, leaders, sets, tried, links]
     labels = keep(components(links), "labels")
-    # keys that still hold several components
-    open_ = met.join(labels, met["cls"] == labels["node"], "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-    still = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
-    rest = keep(open_.join(still.select("key", "many"), "key").join(known, "cls"), "open")
+
+    def still_open() -> DataFrame:
+        """Members of the keys that hold several components."""
+        all_ = met.join(labels, met["cls"] == labels["node"], "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
+        several = all_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
+        scratch.append(keep(all_.join(several.select("key", "many"), "key"), "open"))
+        return scratch[-1]
+
+    open_ = still_open()
+    for turn in range(1, TURNS):
+        next_ = keep(near(led(open_, turn).alias("p")).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = keep(confirmed(next_, sets, percent), "links")
+        scratch += [next_, more]
+        if more.isEmpty():
+            break
+        tried, links = tried.union(next_), links.union(more)
+        labels = keep(components(links), "labels")
+        open_ = still_open()
+    rest = open_.join(known, "cls")
     crowded = rest.where(F.col("many") > CROWD)
     second = paired(rest.where(F.col("many") <= CROWD).drop("many"), percent)
     if not crowded.isEmpty():
         each = keep(crowded.drop("key", "many").dropDuplicates(["cls"]), "crowded")
         second = second.union(paired(each.join(rare_keys(each.select("cls"), sets, percent), "cls"), percent)).distinct()
-    second = keep(second.join(first, ["a", "b"], "left_anti"), "pairs2")
+    second = keep(second.join(tried, ["a", "b"], "left_anti"), "pairs2")
     more = keep(confirmed(second, sets, percent), "links2")
     if not more.isEmpty():
         labels = keep(components(links.union(more)), "labels")
     named = classes.join(labels, classes["cls"] == labels["node"], "left").select(F.col("cls").alias("c1"), F.col("h2").alias("c2"), "rep", F.coalesce("comp", "cls").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component"))
     found = keep(named.join(smallest, "comp").select("c1", "c2", "component"), "components")
-    discard(met, leaders, first, sets, links, rest, second, more)
+    discard(*scratch, second, more)
     out = base.select("doc_id", "n_shingles", "h1", "h2").join(found, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component).alias("component_id")
