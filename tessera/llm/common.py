@@ -124,6 +124,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def release() -> None:
+    """Return this process's free memory to the system; else what was held once counts for as long as it lives."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def tidy(run):
     """``run`` (over an iterator of batches), returning free memory to the system when a task is done: Python workers live on."""
 
@@ -131,11 +140,7 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):
-                pass  # another C library
+            release()
 
     return tidied
 

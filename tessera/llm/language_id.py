@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashIndex, blocks, drawn, text_bytes, tidy
+from .common import HashIndex, blocks, drawn, release, text_bytes, tidy
 
 #: Bytes in the longest n-gram: a context of four and the byte after it.
 LONGEST = 5
@@ -172,6 +172,7 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(Model(sampled(docs, text_col, lang_col, train, train_bytes, train_bytes_each)))  # bounded by TRAIN_BYTES
+    release()  # what the driver trained with
     added = ("lang_pred", "score", "bits_per_byte")
     carry = [c for c in (carry or [id_col]) if c not in added]
     schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])

@@ -43,6 +43,8 @@ CROWD, BLOCK = 8192, 4096
 TURNS = 3
 #: Up to so many ids are broadcast to find the texts that are to be confirmed; beyond, the texts are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Up to so many links (16 MB) one task of an executor finds the components; beyond, stars do, with many more shuffles.
+LOCAL_LINKS = 1_000_000
 SKETCH = [f"s{i}" for i in range(CHUNKS)] + [f"p{i}" for i in range(PARITY)]
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -136,9 +138,38 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= (F.size("ha") + F.size("hb") - common) * percent).select("a", "b").distinct()
 
 
+def smallest_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links (a, b), ascending, and for each the smallest that can be reached."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    comp, x, y = np.arange(len(nodes)), place[: len(a)], place[len(a) :]
+    while len(x):
+        np.minimum.at(comp, np.maximum(x, y), np.minimum(x, y))  # roots only, so every two rounds leave half of a component's at most
+        while ((up := comp[comp]) != comp).any():
+            comp = up
+        x, y = comp[x], comp[y]
+        x, y = x[x != y], y[x != y]
+    return nodes, nodes[comp]
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the smallest node that can be reached) of every node in links (a, b).
 
+    Each job leaves plans, threads and code with the driver, so up to LOCAL_LINKS links are gone through by one task, in one job; more are by ``starred``.
+    """
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := list(batches):
+            ends = (np.concatenate([x.column(i).to_numpy() for x in found]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, smallest_reached(*ends))], names=["node", "comp"])
+
+    if links.count() > LOCAL_LINKS:
+        return starred(links)
+    return links.select("a", "b").where("a <> b").coalesce(1).mapInArrow(tidy(joined), "node long, comp long")
+
+
+def starred(links: DataFrame) -> DataFrame:
+    """What ``components`` returns, of any number of links and without holding them anywhere.
+
     Large and small stars in turn (Kiveris et al., 2014): a node's larger neighbours are tied to its smallest, then its smaller ones
     are, until nothing changes. The rounds grow with the logarithm of the nodes, not with the longest path; each round's edges are written to the shared folder.
     """

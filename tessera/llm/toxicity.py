@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, discard, drawn, keep, text_bytes, tidy
+from .common import blocks, discard, drawn, keep, release, text_bytes, tidy
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -215,6 +215,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "d
     """
     carry = [c for c in (carry or [id_col]) if c not in ("score", "predicted")]
     model = docs.sparkSession.sparkContext.broadcast(train_classifier(docs, labels, train, id_col, text_col, label_col, label_id, train_rows, least_df))
+    release()  # what the driver trained with
     schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -180,6 +180,36 @@ def test_components_of_long_paths(spark):
     assert found == {x: min(nodes[:200]) for x in nodes[:200]} | {x: min(nodes[250:]) for x in nodes[250:]}
 
 
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_components_are_those_of_brute_force(spark, monkeypatch, local):
+    """By stars and by one task: random graphs of every density, links of a node with itself and links given twice."""
+    monkeypatch.setattr(near_dedup, "LOCAL_LINKS", local)
+    g = np.random.default_rng(8)
+    links = [(int(a) * 10**17, int(b) * 10**17) for n in (5, 40, 80) for a, b in n + g.integers(-n // 2, n // 2, (n // 2, 2)) - 90]
+    comp = {x: x for link in links for x in link}
+    for _ in comp:
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    met = {x for a, b in links if a != b for x in (a, b)}
+    found = [tuple(r) for r in near_dedup.components(spark.createDataFrame([*links, *links], "a long, b long")).collect()]
+    assert sorted(found) == sorted((x, c) for x, c in comp.items() if x in met)
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates_take_few_jobs(spark, monkeypatch):
+    """Each job leaves its plans, threads and code with the driver: components of few links are found in one, whatever their shape."""
+    kept = []
+    monkeypatch.setattr(near_dedup, "keep", lambda df, name, f=near_dedup.keep: kept.append(name) or f(df, name))
+    g = random.Random(6)
+    texts = [[f"w{g.randrange(10**6)}" for _ in range(60)]]
+    for i in range(1, 90):  # chains of near copies
+        texts.append([*texts[-1][3:], *(f"w{g.randrange(10**6)}" for _ in range(3))] if i % 30 else [f"w{g.randrange(10**6)}" for _ in range(60)])
+    texts = {i: " ".join(t) for i, t in enumerate(texts)}
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert found == brute_components(texts) and len(set(found.values())) == 3
+    assert len(kept) <= 30 and "edges" not in kept, kept
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     long = lambda s: " ".join(f"{s}{i}" for i in range(40))
     rows = [(1, long("a")), (1, long("b")), (1, long("b")), (2, long("b") + " end"), (3, long("c")), (None, long("c")), (4, None)]
