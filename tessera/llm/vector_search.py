@@ -3,10 +3,12 @@
 Vectors are cut into subspaces of two dimensions with 16 code words each. The code words and codes
 minimise |r|**2 + (ETA - 1) * (r . x / |x|)**2 for the residual r of a vector x: an error along
 the vector changes large inner products most, so it weighs more than one across it. A search looks up each
-candidate's packed 4-bit codes in the query's tables (two codes at once), and the best by this estimate
-are ranked anew by exact inner products.
+candidate's packed 4-bit codes in the query's tables (two codes at once). An estimate is off by |q| |r| at most,
+and |r| is kept with the codes: the exact inner products of the best by the estimate set a bar, and whatever
+may reach it within its error is ranked exactly too. So the nearest found are the truly nearest on any rows; how
+well the codes fit only decides how many are ranked exactly.
 
-Queries and candidates meet in blocks of bounded size; each block pair gives each of its queries' best, and
+Queries and candidates meet in blocks of bounded size; each block pair gives each of its queries' exact best, and
 these are merged.
 """
 
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +30,12 @@ ETA = 4.0
 #: Vectors from which code words are learnt, at most (drawn by a hash of the id).
 TRAIN_ROWS, ROUNDS = 20_000, 8
 NEAREST = 20
-#: Candidates that a query ranks exactly: the best of all by the estimate.
+#: The best of a block by the estimate, whose exact products set the query's bar.
 RERANKED = 400
-CANDIDATE_BLOCK, QUERY_BLOCK = 1 << 17, 2048
+#: Rows of a block at most; fewer if they would be larger than BLOCK_BYTES in double precision.
+CANDIDATE_BLOCK, QUERY_BLOCK, BLOCK_BYTES = 1 << 16, 1 << 15, 32 << 20
+#: Candidates that make a task of their own while there are more cores than blocks.
+TASK_ROWS = 4096
 
 
 class Quantiser:
@@ -95,12 +101,14 @@ class Quantiser:
             total += now - along[:, m]
             along[:, m] = now
 
-    def encode(self, vectors: np.ndarray) -> np.ndarray:
-        """Two 4-bit codes a byte."""
+    def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two 4-bit codes a byte; the lengths of the residuals, rounded up."""
         x = self.cut(vectors)
         unit = self.unit(x)
-        codes = self.assign(x, unit, self.assign(x, unit)).astype(np.uint8)
-        return codes[:, ::2] | codes[:, 1::2] << 4
+        codes = self.assign(x, unit, self.assign(x, unit))
+        away = np.sqrt(((x - self.words[np.arange(self.spaces), codes]) ** 2).sum((1, 2)))
+        codes = codes.astype(np.uint8)
+        return codes[:, ::2] | codes[:, 1::2] << 4, (away * (1 + 1e-6)).astype(np.float32)
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """For each query and byte of a code the inner product with each of its 256 values."""
@@ -109,22 +117,44 @@ class Quantiser:
         return (high[..., :, None] + low[..., None, :]).reshape(len(queries), self.spaces // 2, 256).astype(np.float32)
 
 
-def share(wanted: int, blocks: int) -> int:
-    """So many of one block hold all of the best ``wanted`` of its that many blocks (dealt by hashing), but for a chance below 1e-8."""
-    mean = wanted / blocks
-    return min(wanted, int(mean + 6 * mean**0.5 + 20))
+def kth(x: np.ndarray, k: int) -> float:
+    """The k-th largest."""
+    return np.partition(x, len(x) - k)[len(x) - k]
 
 
-def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, codes: np.ndarray, quantiser: Quantiser, wanted: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (id, ids of its best in this block, estimates), by table scan."""
-    columns = np.ascontiguousarray(codes.T)
-    for at in range(0, len(queries), 64):
-        for query_id, table in zip(query_ids[at:], quantiser.tables(queries[at : at + 64])):
-            estimate = table[0][columns[0]]
-            for row, column in zip(table[1:], columns[1:]):
-                estimate += row[column]
-            few = np.argpartition(estimate, len(ids) - wanted)[len(ids) - wanted :] if len(ids) > wanted else np.arange(len(ids))
-            yield query_id, ids[few], estimate[few]
+def best(queries: np.ndarray, codes: np.ndarray, errors: np.ndarray, vectors: np.ndarray, ids: np.ndarray, quantiser: Quantiser, wanted: int, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query (places, exact inner products) of its best, ties to the smaller of ``ids``: all are looked up, those that may be among the best are multiplied.
+
+    Comparisons leave room for rounding, and what isn't a number passes them.
+    """
+    n, columns = len(vectors), np.ascontiguousarray(codes.T, np.intp)
+    wanted, first = min(wanted, n), min(max(first, wanted), n)
+    room = (len(queries[0]) + 2) * 2.0**-51 * np.sqrt((vectors**2).sum(1))
+    large = np.abs(queries).max(1, keepdims=True)
+    unit = queries / large
+    unit /= np.sqrt((unit**2).sum(1, keepdims=True))
+    for at in range(0, len(queries), 32):
+        some = unit[at : at + 32]
+        tables = quantiser.tables(some)
+        reaches, found = np.zeros((n, len(some)), np.float32), np.empty((n, len(some)), np.float32)
+        for table, column in zip(np.ascontiguousarray(tables.transpose(1, 2, 0)), columns):
+            reaches += np.take(table, column, axis=0, out=found, mode="clip")
+        rounding = (tables.shape[1] + 4) * 2.0**-23 * np.abs(tables).max(2).sum(1, dtype=float) + 1e-36
+        alive = []
+        for q, reach, error in zip(some, np.ascontiguousarray(reaches.T), rounding):
+            few = np.argpartition(reach, n - first)[n - first :]
+            bar = np.nextafter(np.float32(kth(vectors[few] @ q - room[few], wanted) - error), np.float32(-np.inf))
+            reach += errors
+            alive.append(np.flatnonzero(~(reach < bar)))
+        many = [j for j, a in enumerate(alive) if 32 * len(a) > n]
+        products = dict(zip(many, some[many] @ vectors.T)) if many else {}
+        for j, (q, a) in enumerate(zip(some, alive)):
+            near = products[j][a] if j in products else vectors[a] @ q
+            last = a[~(near + room[a] < kth(near - room[a], wanted))]
+            # added up from the left
+            score = np.cumsum(vectors[last] * queries[at + j], 1)[:, -1] + 0.0
+            top = np.lexsort((ids[last], -score))[:wanted]
+            yield last[top], score[top]
 
 
 def usable(vector: str) -> Column:
@@ -135,7 +165,7 @@ def usable(vector: str) -> Column:
 
 
 def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, reranked: int = RERANKED, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row that ``queries`` selects the k other rows of the largest inner product found.
+    """query_id, rank, vec_id, score: for each row that ``queries`` selects the k other rows of the largest inner product, exactly those.
 
     Scores are exact, in double precision; ties go to the smaller id. Vectors that are null, empty, all zero or have
     null or non-finite components, and null ids, take no part. Vectors of different lengths don't meet: each length is an index of its own.
@@ -172,39 +202,39 @@ def searched(classes: DataFrame, dim: int, many: int, asking: int, k: int, reran
     sample = drawn(classes.select(F.col("dim").alias("group"), F.col("v").alias("text"), F.lit(1).alias("weight")), lambda _: train_rows, 6).toArrow().column("text")  # train_rows
     sample = np.array(sorted(sample.to_pylist()), float)
     quantiser = classes.sparkSession.sparkContext.broadcast(Quantiser(sample))
-    groups, query_groups = -(-many // CANDIDATE_BLOCK), -(-asking // QUERY_BLOCK)
-    wanted = share(reranked, groups)
+    rows_in = BLOCK_BYTES // (8 * dim) + 1
+    groups = max(-(-many // min(CANDIDATE_BLOCK, rows_in)), min(classes.sparkSession.sparkContext.defaultParallelism, -(-many // TASK_ROWS)))
+    query_groups = -(-asking // min(QUERY_BLOCK, rows_in))
     block = lambda seed, n: F.pmod(F.xxhash64("cls", F.lit(seed)), F.lit(n)).cast("int")
+    kind = classes.schema["v"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = batch.column(1).flatten().to_numpy().reshape(-1, dim).astype(float)
-            codes = quantiser.value.encode(v) if len(v) else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], names=["cls", "code"])
+            v = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
+            codes, errors = quantiser.value.encode(v) if len(v) else ([], [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors, pa.float32())], names=["cls", "low", "v", "code", "error"])
 
-    kind = classes.schema["v"].dataType.simpleString()
-    codes = keep(classes.select("cls", "v").mapInArrow(encode, "cls long, code binary"), "codes")
-    candidates = codes.select("cls", "code", F.lit(None).cast(kind).alias("v"), block(7, groups).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))).alias("qb"))
-    asked = classes.where("asks").select("cls", F.lit(None).cast("binary").alias("code"), "v", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("cb"), block(8, query_groups).alias("qb"))
+    codes = classes.select("cls", F.col("ids")[0].alias("low"), "v").mapInArrow(encode, f"cls long, low long, v {kind}, code binary, error float")
+    candidates = codes.withColumn("cb", block(7, groups)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))))
+    asked = classes.where("asks").select("cls", F.lit(None).cast("long").alias("low"), "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("error"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("cb"), block(8, query_groups).alias("qb"))
 
     def scan(table: pa.Table) -> pa.Table:
-        table = table.sort_by("cls")
-        q, c = (table.filter(table.column(x).is_valid()).combine_chunks() for x in ("v", "code"))
-        if not len(q) or not len(c):
-            return pa.table({"cls": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "estimate": pa.array([], pa.float32())})
-        code = np.frombuffer(b"".join(c.column("code").to_pylist()), np.uint8).reshape(len(c), -1)
-        v = q.column("v").combine_chunks().flatten().to_numpy().reshape(len(q), dim).astype(float)
-        found = list(best(q.column("cls").to_numpy(), v, c.column("cls").to_numpy(), code, quantiser.value, wanted))
-        return pa.table({"cls": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "other": np.concatenate([f[1] for f in found]), "estimate": np.concatenate([f[2] for f in found]).astype(np.float32)})
-
-    met = candidates.unionByName(asked).groupBy("cb", "qb").applyInArrow(scan, "cls long, other long, estimate float")
-    few = met.withColumn("n", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("estimate"), "other"))).where(F.col("n") <= reranked).select("cls", "other")
-    few = keep(few, "few")
-    double = lambda x: F.col(x).cast("array<double>")
-    near = few.join(classes.select(F.col("cls").alias("other"), double("v").alias("w"), "ids"), "other").join(classes.select("cls", double("v").alias("v")), "cls")
-    exact = near.select("cls", "other", "ids", F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x).alias("score"))
+        coded = table.column("code").is_valid()
+        q, c = table.filter(pc.invert(coded)).combine_chunks(), table.filter(coded).combine_chunks()
+        out = []
+        if len(q) and len(c):
+            code = np.frombuffer(b"".join(c.column("code").to_pylist()), np.uint8).reshape(len(c), -1)
+            queries, vectors = (x.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float) for x in (q, c))
+            with np.errstate(all="ignore"):
+                out = list(best(queries, code, c.column("error").to_numpy(), vectors, c.column("low").to_numpy(), quantiser.value, k + 1, reranked))
+        places = np.concatenate([x[0] for x in out]) if out else np.zeros(0, int)
+        asks = np.repeat(q.column("cls").to_numpy()[: len(out)], [len(x[0]) for x in out])
+        return pa.table({"cls": asks, "other": c.column("cls").to_numpy()[places], "low": c.column("low").to_numpy()[places], "score": np.concatenate([x[1] for x in out]) if out else np.zeros(0)})
+
+    met = candidates.unionByName(asked).groupBy("cb", "qb").applyInArrow(scan, "cls long, other long, low long, score double")
     # k + 1 classes hold the best k + 1 rows
-    ranked = exact.withColumn("n", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("score"), F.col("ids")[0]))).where(F.col("n") <= k + 1)
+    ranked = met.withColumn("n", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("score"), "low"))).where(F.col("n") <= k + 1)
+    ranked = ranked.join(classes.select(F.col("cls").alias("other"), "ids"), "other")
     each = ranked.withColumn("vec_id", F.explode("ids")).select("cls", F.struct((-F.col("score")).alias("less"), "vec_id", (F.col("cls") == F.col("other")).alias("own")).alias("x"))
     top = F.transform(F.slice(F.sort_array(F.collect_list("x")), 1, k + 1), lambda x: F.struct((-x["less"]).alias("score"), x["vec_id"].alias("vec_id"), x["own"].alias("own")))
     return each.groupBy("cls").agg(top.alias("top"))  # (k + 1)**2 rows at most in each

@@ -220,6 +220,31 @@ def test_vector_search(spark, monkeypatch, blocks):
     assert vector_search.nearest(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 16, 1500])
+@pytest.mark.parametrize("kind", ["clusters", "lengths", "counts"])
+def test_vector_search_finds_the_truly_nearest(spark, monkeypatch, kind, block):
+    monkeypatch.setattr(vector_search, "CANDIDATE_BLOCK", block)
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 16)
+    g = np.random.default_rng(4)
+    if kind == "clusters":  # hardly differing within a cluster
+        vectors = g.normal(size=(4, 24))[g.integers(0, 4, 4000)] + 1e-5 * g.normal(size=(4000, 24))
+    elif kind == "lengths":
+        vectors = g.normal(size=(4000, 24)) * np.exp(3 * g.normal(size=(4000, 1)))
+    else:  # many equal products
+        vectors = g.poisson(0.2, (4000, 24)).astype(float)
+    vectors = vectors.astype(np.float32).astype(float)
+    asks = [i for i in range(0, 4000, 100) if vectors[i].any()]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    found = vector_search.nearest(df, F.col("vec_id") % 100 == 0).toPandas().sort_values(["query_id", "rank"])
+    want = []
+    for q in asks:
+        score = np.cumsum(vectors * vectors[q], 1)[:, -1]
+        order = np.lexsort((np.arange(4000), -score))
+        order = order[(order != q) & vectors[order].any(1)][:20]
+        want += [(q, n + 1, i, score[i]) for n, i in enumerate(order.tolist())]
+    assert list(found.itertuples(index=False, name=None)) == want
+
+
 def test_language_model(docs, empty):
     train = crc_mod("doc_id", 10) != 0
     rows = [r for r in language_model.score(docs, train).collect()]
