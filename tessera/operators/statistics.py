@@ -518,6 +518,30 @@ def entropy_spectrum(df: DataFrame, field: str, order_by: str, max_scale: int =
     return {"field": field, "samples": n, "embedding_dim": m, "tolerance": r(tolerance, 4), "entropy_spectrum": out, "complexity_type": kind}
 
 
+def rank_gaps(rows: DataFrame, fields: list[str], n: int, block: int = 1 << 18) -> dict[tuple[str, str], float]:
+    """For each pair of fields the largest difference of their values of one rank, over ``n`` complete rows.
+
+    Only counts by value are ranked: a value holds a run of ranks, and a pair's difference changes only where a run of either begins.
+    Runs are cut at blocks of ranks, so that each block of all fields is gone through on its own.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(f"`{f}`").alias("v")) for i, f in enumerate(fields))))
+    counts = rows.select(each.alias("x")).groupBy("x.f", "x.v").agg(F.count("*").alias("c")).persist()
+    try:
+        w = Window.partitionBy("_part").orderBy("f", "v").rowsBetween(Window.unboundedPreceding, -1)
+        begins = F.col("_offset") + F.coalesce(F.sum("c").over(w), F.lit(0)) - F.col("f") * F.lit(n)
+        runs = with_offsets(ranged(counts, ["f", "v"]), F.col("c")).withColumn("at", begins)
+        of = lambda place: F.floor(place / F.lit(block))
+        cut = runs.withColumn("block", F.explode(F.sequence(of(F.col("at")), of(F.col("at") + F.col("c") - 1))))
+        cut = cut.select("block", F.greatest("at", F.col("block") * block).alias("at"), *(F.when(F.col("f") == i, F.col("v")).alias(f"v{i}") for i in range(len(fields))))
+        until = Window.partitionBy("block").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        held = cut.select(*(F.last(f"v{i}", True).over(until).alias(f"v{i}") for i in range(len(fields))))
+        pairs = list(combinations(range(len(fields)), 2))
+        gaps = held.agg(*(F.max(F.abs(F.col(f"v{i}") - F.col(f"v{j}"))) for i, j in pairs)).first()
+    finally:
+        counts.unpersist()
+    return {(fields[i], fields[j]): gap for (i, j), gap in zip(pairs, gaps)}
+
+
 def symmetry_scan(df: DataFrame, fields: list[str]) -> dict:
     """Fields whose values lie alike on either side of the mean, and pairs whose sorted values hardly differ. Constant fields have no reflection."""
     if len(fields) < 2:
@@ -529,9 +553,8 @@ def symmetry_scan(df: DataFrame, fields: list[str]) -> dict:
     if x.n < 20:
         return {"error": "at least 20 complete rows"}
     found = [{"type": "reflection_symmetry", "field": f, "skewness": r(x[f"skew_{f}"], 4)} for f in fields if x[f"std_{f}"] >= 1e-12 and abs(x[f"skew_{f}"]) < 0.2]
-    ranked = {f: numbered_rows(rows.select(F.col(f).alias("v")), ["v"]) for f in fields}
-    for a, b in combinations(fields, 2):
-        gap = ranked[a].join(ranked[b].withColumnRenamed("v", "w"), "_n").agg(F.max(F.abs(F.col("v") - F.col("w")))).first()[0] / max(x[f"most_{a}"], x[f"most_{b}"], 1e-12)
+    for (a, b), most in rank_gaps(rows, fields, x.n).items():
+        gap = most / max(x[f"most_{a}"], x[f"most_{b}"], 1e-12)
         if gap < 0.1:
             found.append({"type": "permutation_symmetry", "field_a": a, "field_b": b, "ks_distance": r(gap, 4)})
     return {"fields": fields, "samples": x.n, "symmetries": found, "total_symmetries_found": len(found)}

@@ -3,6 +3,7 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -137,3 +138,26 @@ def test_against_duckdb(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("block", [7, 1 << 18])
+def test_rank_gaps_match_sorted_columns(spark, block):
+    g = np.random.default_rng(5)
+    columns = [g.normal(size=3000), g.integers(0, 9, 3000) / 4.0, np.where(np.arange(3000) < 2500, 0.0, -np.arange(3000.0)), np.full(3000, 2.5)]
+    df = spark.createDataFrame([tuple(map(float, x)) for x in zip(*columns)], "a double, `b.c` double, d double, e double").repartition(3)
+    found = statistics.rank_gaps(df, df.columns, 3000, block)
+    rank = dict(zip(df.columns, map(np.sort, columns)))
+    assert found == {(x, y): np.abs(rank[x] - rank[y]).max() for i, x in enumerate(df.columns) for y in df.columns[i + 1 :]}
+
+
+def test_symmetry_moves_values_not_rows(spark):
+    def moved():
+        gate = spark.sparkContext._gateway
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gate.new_array(gate.jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    df = spark.range(100_000).selectExpr("id % 11 / 100.0 as a", "id % 9 / 100.0 as b", "id % 50 + 1.0 as c")
+    before = moved()
+    found = statistics.symmetry_scan(df, ["a", "b", "c"])
+    assert found["samples"] == 100_000 and moved() - before < 20_000
+    assert not [x for x in found["symmetries"] if "field_b" in x]
